@@ -155,3 +155,44 @@ def windows_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         g = g * _PRIME + hashes[k : k + len(g)]
     return mix(g)
+
+
+# ---------------------------------------------------------------- joins and components without hot keys
+
+#: A key with more than one in so many rows is hot; there are at most so many hot keys.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with `keyed`, which holds each key once and says in `count` how many of the `total` rows have it.
+
+    The hot keys, at most HOT by their counts, are broadcast; no key of the others has more than total / HOT rows, so
+    neither part leaves a task with a large share of the rows. rows is read twice.
+    """
+    hot = keyed.filter(F.col(count) * HOT > total)
+    cold = keyed.filter(F.col(count) * HOT <= total)
+    few = F.broadcast(hot.drop(count))
+    return rows.join(few, [*keys]).unionByName(rows.join(F.broadcast(hot.select(*keys)), [*keys], "left_anti").join(cold.drop(count), [*keys]))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) to (node, component): the smallest node that each can reach; nodes without an edge are left out.
+
+    Alternates two steps until nothing changes: every node's larger neighbours, then its smaller ones, are linked to the
+    smallest that it knows. The number of rounds grows as the logarithm of the longest path.
+    """
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        total = 2 * e.count()
+        large = cut(join_counted(both, least, ["u"], "n", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        total = large.count()
+        small = join_counted(large, least, ["u"], "n", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == now:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        state = now
