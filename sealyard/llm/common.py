@@ -98,10 +98,10 @@ CHUNK = 1 << 19
 
 
 class Words:
-    """Lower-cased words of some whole texts: hash, number of the text, first byte and end in that text's UTF-8."""
+    """Lower-cased words of some whole texts: hash, number of the text, first byte and end in that text's UTF-8, and the first byte itself."""
 
-    def __init__(self, first: int, count: int, doc, hashes, start, end):
-        self.first, self.count, self.doc, self.hashes, self.start, self.end = first, count, doc, hashes, start, end
+    def __init__(self, first: int, count: int, doc, hashes, start, end, head):
+        self.first, self.count, self.doc, self.hashes, self.start, self.end, self.head = first, count, doc, hashes, start, end, head
 
     def bounds(self) -> np.ndarray:
         """Words of text i are those from bounds[i] to bounds[i + 1]."""
@@ -114,7 +114,7 @@ def _hashed(data: bytes, table_: np.ndarray):
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     c = prefix_hash(buf)
     _, down = powers(len(buf))
-    return start, end, mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64)), buf[start]
 
 
 def _pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -139,16 +139,21 @@ def words_of(texts: Sequence[str | None], table_: np.ndarray) -> Iterator[Words]
         size += len(data) + 1
         if size >= CHUNK or i + 1 == len(texts):
             if len(group) == 1 and len(data) > 2 * CHUNK:
-                parts = [(s + at, e + at, h) for at, piece in _pieces(data) for s, e, h in [_hashed(piece, table_)]]
-                start, end, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts = [(s + at, e + at, h, b) for at, piece in _pieces(data) for s, e, h, b in [_hashed(piece, table_)]]
+                start, end, hashes, head = (np.concatenate(x) for x in zip(*parts, strict=True))
             else:
-                start, end, hashes = _hashed(b"\n".join(group), table_)
+                start, end, hashes, head = _hashed(b"\n".join(group), table_)
             base = np.cumsum([0, *(len(x) + 1 for x in group)])
             doc = np.searchsorted(base, start, side="right") - 1
-            yield Words(first, len(group), doc, hashes, start - base[doc], end - base[doc])
+            yield Words(first, len(group), doc, hashes, start - base[doc], end - base[doc], head)
             group, first, size = [], i + 1, 0
 
 
+def word_hashes(words: Sequence[str], table_: np.ndarray) -> np.ndarray:
+    """The hashes that `words_of` gives to these words."""
+    return np.concatenate([p.hashes for p in words_of([" ".join(words)], table_)])
+
+
 def windows_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive words."""
     g = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)

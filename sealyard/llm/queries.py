@@ -7,12 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hyperminhash, mixing, sharding
+from . import decontam, hyperminhash, mixing, pii, sharding
 from .common import table
 
 SHARDS = 16
 
 
+def _span_text(spans):
+    """kind:start:end, by kind as listed and then start, joined by commas."""
+    rank = lambda s: F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(rank(s).alias("k"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are of the plain spans; n_disguised has those that only the rewritten text shows."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("pii_plain", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_span_text(F.col("pii_plain")).cast("binary"), 256).alias("base_sha256"),
+        _span_text(F.concat("pii_plain", "pii_disguised")).alias("spans"),
+        F.size("pii_disguised").cast("long").alias("n_disguised"),
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `key`: null texts count as empty. Repeated ids go to one shard, each row with a slot of its own."""
     docs = table(spark, sf_dir, "documents")
@@ -55,6 +75,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op8_mixing": op8_mixing,
