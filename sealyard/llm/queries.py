@@ -23,10 +23,10 @@ def _span_text(spans):
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts are of the plain spans; n_disguised has those that only the rewritten text shows."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii_plain", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    count = lambda kind: F.size(F.filter("pii_plain", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *counts,
+        *(count(kind).alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(_span_text(F.col("pii_plain")).cast("binary"), 256).alias("base_sha256"),
         _span_text(F.concat("pii_plain", "pii_disguised")).alias("spans"),
         F.size("pii_disguised").cast("long").alias("n_disguised"),
