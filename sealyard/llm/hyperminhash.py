@@ -1,10 +1,11 @@
 """Near duplicates by HyperMinHash: each bucket of a document's shingle hashes keeps the leading zeros and the next bits of its least.
 
-1. One pass gives each document its set's size, a 128-bit digest of the set, and BUCKETS registers of 16 bits.
-   Documents with equal sets are one class, which its smallest id stands for; copies never meet each other.
-2. The registers are banded, ROWS to a band. The class of smallest id in a band is linked to the others in it, and the
-   components of these links are clusters: two sets that share a band are in one cluster. Two sets of similarity 0.85
-   share none of the 40 bands with a probability of 2e-13, of similarity 0.8, 7e-10.
+1. One pass gives each document its set's size, a 128-bit digest of the set, and BUCKETS registers of 16 bits, banded ROWS
+   to a band. Documents with equal sets are one class, which its smallest id stands for; copies never meet each other.
+   An empty bucket borrows the register of another one, so that each band stands for ROWS shingles of a small set too.
+2. The class of smallest id in a band is linked to the others in it, and the components of these links are clusters: two
+   sets that share a band are in one cluster. Two sets of similarity 0.85 share none of the 48 bands with a probability of
+   1e-10, of similarity 0.8, 5e-7.
 3. Inside a cluster all pairs are compared, BLOCK classes by BLOCK in a task: first their registers, where an estimate
    corrected for chance collisions, and more than six deviations below the threshold, ends it; then the full sets. A pair
    that other links have joined is not compared. Only links that join something leave a task.
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, components, cut, join_counted, mix, ranked, windows_hash, words_of
+from .common import _PRIME, NOT_SPACE, components, cut, join_counted, mix, ranked, windows_hash, words_of
 
 SHINGLE, SIMILARITY = 5, 80
-BUCKETS, ROWS, MANTISSA = 160, 4, 10
+BUCKETS, ROWS, MANTISSA = 288, 6, 10
 #: Classes of a cluster that are compared with as many others in one task.
 BLOCK = 512
 #: Pairs are left out on the registers alone if their estimate is so many deviations below the threshold.
@@ -49,7 +50,7 @@ def _sets(texts, n: int):
 def registers(hashes: np.ndarray) -> np.ndarray:
     """From sorted hashes: for each bucket 0 if empty, else the least one's leading zeros + 1, and the bits after its first one."""
     out = np.zeros(BUCKETS, dtype=np.uint16)
-    bucket = ((hashes >> np.uint64(8)) * np.uint64(BUCKETS)) >> np.uint64(56)
+    bucket = ((hashes >> np.uint64(16)) * np.uint64(BUCKETS)) >> np.uint64(48)
     first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(BUCKETS)))
     inside = hashes[first] * np.uint64(BUCKETS)  # the place inside the bucket, of 2**64
     zeros = np.minimum(64 - np.frexp(inside.astype(np.float64))[1], 62).astype(np.uint64)
@@ -58,6 +59,24 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: For each bucket an order of all buckets; an empty one borrows from the first in its order that isn't.
+_ORDER = np.argsort(mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
+
+
+def bands(regs: np.ndarray) -> np.ndarray:
+    """A hash of each ROWS registers, after empty ones have borrowed: else small sets would agree in bands for the few shingles there."""
+    there = regs > 0
+    empty = np.flatnonzero(~there)
+    if len(empty):
+        order = _ORDER[empty]
+        regs = regs.copy()
+        regs[empty] = regs[order[np.arange(len(empty)), there[order].argmax(axis=1)]]
+    h = np.arange(BUCKETS // ROWS, dtype=np.uint64)
+    for column in regs.reshape(-1, ROWS).T:
+        h = h * _PRIME + column
+    return mix(h)
+
+
 def chance(n_a, n_b):
     """The probability that the registers of a bucket agree though the least hashes differ, for sets of n_a and n_b."""
     a, b = np.asarray(n_a, dtype=np.float64) / BUCKETS, np.asarray(n_b, dtype=np.float64) / BUCKETS
@@ -80,7 +99,7 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, n_shingles, digest_a, digest_b, regs) of each row."""
+    """(key, n_shingles, digest_a, digest_b, bands) of each row."""
     kind = docs.schema[key].dataType
 
     def run(batches):
@@ -90,18 +109,10 @@ def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 size.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                regs.append(registers(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())], names=["key", "n_shingles", "digest_a", "digest_b", "regs"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind.simpleString()}, n_shingles long, digest_a long, digest_b long, regs binary")
-
+                regs.append(bands(registers(s)).view(np.int64) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.list_(pa.int64()))], names=["key", "n_shingles", "digest_a", "digest_b", "bands"])
 
-def _banded(classes: DataFrame) -> DataFrame:
-    """(band, rep) for each band of registers that aren't all empty."""
-    width = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // ROWS - 1)), lambda b: F.struct(b.alias("at"), F.substring("regs", b * width + 1, F.lit(width)).alias("own")))
-    some = F.filter(bands, lambda x: x["own"] != F.lit(bytes(width)))
-    return classes.select("rep", F.explode(F.transform(some, lambda x: F.xxhash64(x["at"], x["own"]))).alias("band"))
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind.simpleString()}, n_shingles long, digest_a long, digest_b long, bands array<long>")
 
 
 class _Forest:
@@ -139,10 +150,11 @@ def _common(sets_a: list, sets_b: list) -> np.ndarray:
 
 
 def _links(rows_a: list, rows_b: list, percent: int):
-    """Links between two blocks of (id, n, regs, set), or inside one if both are the same; only those that join."""
+    """Links between two blocks of (id, set), or inside one if both are the same; only those that join."""
     inside = rows_a is rows_b
-    regs_a, regs_b = (np.array([np.frombuffer(r[2], dtype=np.uint16) for r in rows]) for rows in (rows_a, rows_b))
-    n_a, n_b = (np.array([r[1] for r in rows], dtype=np.float64) for rows in (rows_a, rows_b))
+    sets_a, sets_b = ([r[1] for r in rows] for rows in (rows_a, rows_b))
+    regs_a, regs_b = (np.array([registers(x) for x in sets]) for sets in (sets_a, sets_b))
+    n_a, n_b = (np.array([len(x) for x in sets], dtype=np.float64) for sets in (sets_a, sets_b))
     found, used = estimate(regs_a, regs_b, n_a, n_b)
     t = percent / 100
     maybe = (found >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(used, 1))) & (100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :]))
@@ -151,7 +163,6 @@ def _links(rows_a: list, rows_b: list, percent: int):
     i, j = np.nonzero(maybe)
     order = np.argsort(-found[i, j], kind="stable")
     shift, forest = (0 if inside else len(rows_a)), _Forest(len(rows_a) + len(rows_b))
-    sets_a, sets_b = ([np.frombuffer(r[3], dtype=np.uint64) for r in rows] for rows in (rows_a, rows_b))
     both = None
     for count, k in enumerate(order.tolist()):
         x, y = int(i[k]), int(j[k])
@@ -170,13 +181,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     digest = ["n_shingles", "digest_a", "digest_b"]
     some = sk.filter("n_shingles > 0 AND key IS NOT NULL")
     classes = cut(some.groupBy(*digest).agg(F.min("key").alias("rep"), F.count("*").alias("rows")))
-    registers_of = some.select(F.col("key").alias("rep"), "regs", *digest).join(classes.select("rep", *digest), ["rep", *digest]).dropDuplicates(["rep", *digest])
-    regs = cut(registers_of.select("rep", "n_shingles", "regs"))
+    chosen = cut(some.select(F.col("key").alias("rep"), "bands", *digest).join(classes.select("rep", *digest), ["rep", *digest], "left_semi").select("rep", "bands"))
 
-    bands = _banded(regs)
-    shared = cut(bands.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z"))
+    banded = chosen.select("rep", F.explode("bands").alias("band"))
+    shared = cut(banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z"))
     total = shared.agg(F.sum("n")).first()[0] or 0
-    stars = join_counted(bands, shared, ["band"], "n", total).filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    stars = join_counted(banded, shared, ["band"], "n", total).filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     members = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
     placed = ranked(members, ["cluster"], F.pmod(F.xxhash64("rep"), F.lit(64)), [F.col("rep")], "place").withColumn("block", F.floor(F.col("place") / BLOCK))
@@ -188,7 +198,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     dealt = dealt.select("rep", "block", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     sets = _full_sets(docs, members.select("rep"), key, text, n)
-    full = dealt.join(regs.dropDuplicates(["rep"]), "rep").join(sets, "rep")
+    full = dealt.join(sets, "rep")
     edges = _compare(full, docs.schema[key].dataType.simpleString(), percent)
     final = components(edges).select(F.col("node").alias("rep"), "component")
 
@@ -231,12 +241,12 @@ def _compare(full: DataFrame, kind: str, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "low", "high", "block", "rep", "n_shingles", "regs", "full")]
+            cols = [batch.column(c).to_pylist() for c in ("cluster", "low", "high", "block", "rep", "full")]
             for cluster, low, high, block, *row in zip(*cols, strict=True):
                 if (cluster, low, high) != now:
                     yield from done()
                     now, blocks = (cluster, low, high), {}
-                blocks.setdefault(block, []).append((row[0], len(row[3]) // 8, row[2], row[3]))
+                blocks.setdefault(block, []).append((row[0], np.frombuffer(row[1], dtype=np.uint64)))
         yield from done()
 
     order = ["cluster", "low", "high"]
