@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hyperminhash, mixing, pii, sharding
-from .common import table
+from . import decontam, hyperminhash, langid, mixing, pii, sharding, toxicity
+from .common import fold, table
 
 SHARDS = 16
 
@@ -56,6 +56,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang_pred is the nearest language, also where its distance rejects it: see `rejected`."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), name="score")
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     slim = docs.select("doc_id", "source", "text")
@@ -78,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_language": op4_language,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op10_near_dedup": op10_near_dedup,
 }
