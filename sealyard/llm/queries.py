@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hyperminhash, langid, mixing, pii, sharding, toxicity
+from . import decontam, hyperminhash, langid, mixing, pii, sharding, topk, toxicity
 from .common import fold, table
 
 SHARDS = 16
@@ -63,6 +63,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, rows.filter("vec_id % 20 = 0"), k=20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), name="score")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_language": op4_language,
+    "op5_top_k": op5_top_k,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op10_near_dedup": op10_near_dedup,
@@ -136,6 +142,12 @@ rows AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS s
   split_part(t3.path, '/', -1)::INT AS shard, split_part(g3.path, '/', -1)::INT AS grown_shard, floor({_UNIT.format("'slot:' || doc_id")} * {sharding.SLOT_BUCKETS}) AS bucket
   FROM documents JOIN t3 USING (doc_id) JOIN g3 USING (doc_id))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM rows""",
+    "op5_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op8_mixing": f"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, {_UNIT.format("'copy:' || doc_id")} AS u FROM documents),
 sizes AS (SELECT source, sum(size)::DOUBLE AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source),
