@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hyperminhash, langid, mixing, pii, sharding, topk, toxicity
+from . import decontam, hyperminhash, langid, mixing, pii, quotes, sharding, topk, toxicity
 from .common import fold, table
 
 SHARDS = 16
@@ -87,6 +87,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each message, without its quotes: its parent (null for a root), its thread's root, and its place in the thread."""
+    found = quotes.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return found.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.col("q_parent.conv").alias("parent_conv_id"),
+        F.col("q_parent.turn").alias("parent_turn"),
+        F.col("q_root.conv").alias("root_conv_id"),
+        F.col("q_root.turn").alias("root_turn"),
+        F.col("q_depth").alias("depth"),
+        F.col("q_position").alias("position"),
+        F.col("q_quotes").cast("long").alias("n_quotes"),
+        F.col("q_linked").cast("long").alias("n_linked"),
+        F.col("q_text").alias("text"),
+    )
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hyperminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=85)
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
@@ -100,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_quotations": op9_quotations,
     "op10_near_dedup": op10_near_dedup,
 }
 
