@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hyperminhash, langid, mixing, pii, quotes, sharding, topk, toxicity
+from . import decontam, hyperminhash, langid, mixing, pii, quotes, sharding, suffixes, topk, toxicity
 from .common import fold, table
 
 SHARDS = 16
@@ -68,6 +68,11 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter("vec_id % 20 = 0"), k=20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), name="score")
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_language": op4_language,
     "op5_top_k": op5_top_k,
+    "op6_repeats": op6_repeats,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_quotations": op9_quotations,
