@@ -20,7 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sealyard-"))
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")  # what df has shuffled is of no more use once its rows are written
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def fold(doc_id: Column) -> Column:

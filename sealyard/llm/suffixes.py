@@ -20,7 +20,6 @@ texts are read whole. Extra columns are ignored by `remove_repeats`' result, whi
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 
@@ -55,29 +54,60 @@ def _block_hashes(data: bytes) -> np.ndarray:
 
 
 def _samples(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the cover sample, and their hashes."""
-    h = _block_hashes(data)
-    at = np.flatnonzero(np.resize(_IN_COVER, len(h)))
-    return at, h[at]
+    """Positions of a text's cover sample, and their hashes."""
+    at, hashes = [], []
+    for low in range(0, max(1, len(data) - BLOCK + 1), PART):
+        part = data[low : low + PART + BLOCK - 1]
+        own = _cover_places(low % PERIOD, len(part) - BLOCK + 1)
+        at.append(own + low)
+        hashes.append(_hashes_at(part, own))
+    return np.concatenate(at), np.concatenate(hashes)
+
+
+def _hashes_at(data: bytes, at: np.ndarray) -> np.ndarray:
+    buf = np.frombuffer(data, dtype=np.uint8)
+    c, (_, down) = prefix_hash(buf), powers(len(buf))
+    return mix((c[at + BLOCK] - c[at]) * down[at])
+
+
+_places: list[np.ndarray] = [np.flatnonzero(_IN_COVER)]
+
+
+def _cover_places(phase: int, n: int) -> np.ndarray:
+    """The places below n that are sampled, if the first one is at `phase` of the period."""
+    while _places[0][-1] < n + PERIOD:
+        size = 2 * (int(_places[0][-1]) // PERIOD + 1) * PERIOD
+        _places[0] = np.flatnonzero(np.resize(_IN_COVER, size))
+    low, high = np.searchsorted(_places[0], [phase, phase + max(n, 0)])
+    return _places[0][low:high] - phase
 
 
 def _many_samples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, hash) of the samples of texts, hashed together up to PART bytes at a time."""
-    numbers, hashes, group, size, first = [], [], [], 0, 0
+    """(number of the text, hash) of the samples of texts, hashed together up to PART bytes at a time; longer ones alone."""
+    numbers, hashes, group, base, size = [], [], [], [], 0
+
+    def flush():
+        nonlocal size
+        if group:
+            hashes.append(_hashes_at(b"".join(group), np.concatenate(base)))
+            group.clear(), base.clear()
+            size = 0
+
     for i, t in enumerate(texts):
+        if len(t) > PART:
+            flush()
+            h = _samples(t)[1]
+            hashes.append(h)
+            numbers.append(np.full(len(h), i))
+            continue
+        own = _cover_places(0, len(t) - BLOCK + 1) if len(t) >= LENGTH else _places[0][:0]
+        numbers.append(np.full(len(own), i))
         group.append(t)
+        base.append(own + size)
         size += len(t)
-        if size >= PART or i + 1 == len(texts):
-            lengths = np.array([len(x) for x in group])
-            base = np.cumsum([0, *lengths[:-1]])
-            h = _block_hashes(b"".join(group))
-            owner = np.repeat(np.arange(len(group)), lengths)[: len(h)]
-            place = np.arange(len(h)) - base[owner]
-            own = np.flatnonzero(_IN_COVER[place % PERIOD] & (place <= lengths[owner] - LENGTH + PERIOD - 1) & (lengths[owner] >= LENGTH))
-            own = own[place[own] + BLOCK <= lengths[owner[own]]]
-            numbers.append(first + owner[own])
-            hashes.append(h[own])
-            group, size, first = [], 0, i + 1
+        if size >= PART:
+            flush()
+    flush()
     if not numbers:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     return np.concatenate(numbers), np.concatenate(hashes)
@@ -86,21 +116,20 @@ def _many_samples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _repeated_samples(texts: DataFrame, total: int) -> tuple[DataFrame, int]:
     """(digest, codes), and the bits of a code: for each text, by its digest, the low 32 bits of the sample codes that another text has too."""
     samples = max(1, total * len(COVER) // PERIOD)
-    bits = min(60, math.ceil(math.log2(samples + 1)) + SPARE_BITS)
+    bits = min(56, math.ceil(math.log2(samples + 1)) + SPARE_BITS)
+    number_bits = min(15, 63 - bits)
     bucket_bits = max(0, math.ceil(math.log2(samples / BUCKET))) if samples > BUCKET else 0
 
     def pack(batches):
         for batch in batches:
             digests, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a in range(0, len(data), 1 << 15):
-                own = digests[a : a + (1 << 15)]
-                numbers, hashes = _many_samples(data[a : a + (1 << 15)])
-                codes = hashes >> np.uint64(64 - bits)
-                order = np.lexsort((numbers, codes))
-                codes, numbers = codes[order], numbers[order].astype(np.uint16)
-                new = np.ones(len(codes), dtype=bool)
-                new[1:] = (codes[1:] != codes[:-1]) | (numbers[1:] != numbers[:-1])
-                codes, numbers = codes[new], numbers[new]
+            for a in range(0, len(data), 1 << number_bits):
+                own = digests[a : a + (1 << number_bits)]
+                numbers, hashes = _many_samples(data[a : a + (1 << number_bits)])
+                both = hashes >> np.uint64(64 - bits) << np.uint64(number_bits) | numbers.astype(np.uint64)
+                both.sort()
+                both = both[np.diff(both, prepend=both[:1] - np.uint64(1)) > 0]
+                codes, numbers = both >> np.uint64(number_bits), (both & np.uint64((1 << number_bits) - 1)).astype(np.uint16)
                 bucket = (codes >> np.uint64(bits - bucket_bits)).astype(np.int64)
                 edges = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
                 rows = []
@@ -127,13 +156,17 @@ def _repeated_samples(texts: DataFrame, total: int) -> tuple[DataFrame, int]:
             owners.append(np.frombuffer(digests, dtype=np.int64)[np.frombuffer(numbers, dtype=np.uint16)])
         code, owner = np.concatenate(codes), np.concatenate(owners)
         # Only codes that occur twice can be those of two texts.
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        start = np.flatnonzero(np.diff(code, prepend=code[:1] - np.uint64(1)))
-        low, high = np.minimum.reduceat(owner, start), np.maximum.reduceat(owner, start)
-        shared = np.repeat(low < high, np.diff(np.append(start, len(code))))
+        ordered = np.sort(code)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        at = np.searchsorted(twice, code)
+        some = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == code) if len(twice) else at[:0]
+        code, owner, at = code[some], owner[some], at[some]
+        low, high = np.full(len(twice), np.iinfo(np.int64).max), np.full(len(twice), np.iinfo(np.int64).min)
+        np.minimum.at(low, at, owner)
+        np.maximum.at(high, at, owner)
+        shared = (low < high)[at]
         code, owner = code[shared], owner[shared]
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner)
         code, owner = code[order].astype(np.uint32), owner[order]
         start = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1)) if len(owner) else np.zeros(0, dtype=np.int64)
         ends = np.append(start[1:], len(owner))
@@ -192,7 +225,6 @@ _SPANS = "array<struct<start:long,end:long>>"
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row; spans are the removed byte spans of the UTF-8 text."""
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = docs.select(F.col(key).alias("key"), data.alias("data"))
@@ -205,22 +237,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     long_ = base.filter((F.col("n") >= LENGTH) & F.col("key").isNotNull())
     replies, bits = _repeated_samples(long_.select("digest", "data"), total)
     replies = cut(replies)
-    _release(spark)
-
-    reps = classes.filter(F.col("n") >= LENGTH).select(F.col("rep").alias("key"), "digest").join(replies, "digest", "left")
-    joined = long_.select("key", "digest", "data").join(reps, ["key", "digest"])
-
-    def stage(batches):
-        for batch in batches:
-            keys, digests, texts, codes = (batch.column(c) for c in ("key", "digest", "data", "codes"))
-            shas, kept = [], []
-            for d, c in zip(texts.to_pylist(), codes.to_pylist(), strict=True):
-                shas.append(None if c else hashlib.sha256(d).hexdigest())
-                kept.append((d, c) if c else (None, None))
-            yield pa.RecordBatch.from_arrays([keys, digests, pa.array(shas, pa.string()), pa.array([k[0] for k in kept], pa.binary()), pa.array([k[1] for k in kept], pa.list_(pa.binary()))], names=["key", "digest", "sha", "data", "codes"])
 
-    staged = cut(joined.select("key", "digest", "data", "codes").mapInArrow(stage, f"key {kind}, digest long, sha string, data binary, codes array<binary>"))
-    _release(spark)
+    reps = classes.filter(F.col("n") >= LENGTH).select(F.col("rep").alias("key"), "digest")
+    flagged = long_.select("key", "digest", "data").join(reps.join(replies, "digest"), ["key", "digest"])
 
     def emit(batches):
         for batch in batches:
@@ -247,13 +266,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 kinds = (pa.int64(), batch.column("key").type, pa.int64(), pa.int64(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["code", "key", "digest", "at", "piece", "known"])
 
-    flagged = staged.filter("data IS NOT NULL")
     runs = flagged.select("key", "digest", "data", "codes").mapInArrow(emit, f"code long, key {kind}, digest long, at long, piece binary, known boolean")
     # What is known to repeat needs no comparison, so it is dealt by its text.
     runs = runs.select(F.when(F.col("known"), F.col("digest")).otherwise(F.col("code")).alias("code"), "key", "digest", "at", F.octet_length("piece").alias("size"), F.when(~F.col("known"), F.col("piece")).alias("piece"))
 
     def compare(batches):
-        now, seen, found = None, {}, []
+        now, seen, whole, found = None, {}, {}, []
         names = ["key", "digest", "start", "end"]
 
         def flush():
@@ -269,7 +287,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     found.append((k, digest, at, at + size))
                     continue
                 if code != now:
-                    now, seen = code, {}
+                    now, seen, whole = code, {}, {}
+                if whole.setdefault(piece, k) != k:
+                    found.append((k, digest, at, at + size))
+                    continue
                 first = None
                 for i in range(size - LENGTH + 1):
                     if seen.setdefault(piece[i : i + LENGTH], k) != k:
@@ -286,21 +307,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield flush()
 
     hits = runs.repartition("code").sortWithinPartitions("code", "key").mapInArrow(compare, f"key {kind}, digest long, start long, end long")
-    spans = hits.groupBy("key", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    hit_docs = flagged.select("key", "digest", "data").join(spans, ["key", "digest"], "left")
+    spans = cut(hits.groupBy("key", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    first = long_.select("key", "digest", "n", "data").join(reps.join(spans, ["key", "digest"], "left"), ["key", "digest"])
 
     def finish(batches):
         for batch in batches:
-            keys, digests, texts, found = (batch.column(c) for c in ("key", "digest", "data", "spans"))
+            keys, sizes, texts, found = (batch.column(c) for c in ("key", "n", "data", "spans"))
             merged = [_merge((s["start"], s["end"]) for s in f or ()) for f in found.to_pylist()]
             shas = [hashlib.sha256(_without(d, m)).hexdigest() for d, m in zip(texts.to_pylist(), merged, strict=True)]
             kind_ = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([keys, digests, pa.array(shas, pa.string()), pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], kind_)], names=["key", "digest", "sha", "spans"])
+            yield pa.RecordBatch.from_arrays([keys, sizes, pa.array(shas, pa.string()), pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], kind_)], names=["key", "n", "sha", "spans"])
 
     none = F.array().cast(_SPANS)
-    first = hit_docs.select("key", "digest", "data", "spans").mapInArrow(finish, f"key {kind}, digest long, sha string, spans {_SPANS}")
-    first = first.unionByName(staged.filter("data IS NULL").select("key", "digest", "sha", none.alias("spans")))
-    first = first.join(narrow.filter(F.col("n") >= LENGTH).select("key", "digest", "n").distinct(), ["key", "digest"]).select("key", "n", "sha", "spans")
+    first = first.select("key", "n", "data", "spans").mapInArrow(finish, f"key {kind}, n long, sha string, spans {_SPANS}")
 
     rows = classes.agg(F.sum("rows")).first()[0] or 0
     copies = join_counted(narrow.filter("key IS NOT NULL"), classes, same, "rows", rows).filter((F.col("key") != F.col("rep")) | (F.col("n") < LENGTH))
@@ -310,9 +329,3 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = rest.select("key", "n", F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("sha"), F.when(gone, everything).otherwise(none).alias("spans"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     return first.unionByName(rest).select(F.col("key").alias(key), F.col("n").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), "spans")
-
-
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of what a checkpoint has replaced; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
