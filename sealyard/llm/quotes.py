@@ -103,28 +103,54 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     votes = found.filter("level = 1").groupBy("q_at", "source").agg(F.sum("size").alias("size"))
     same = F.col("source.conv").eqNullSafe(F.col("q_at.conv"))
     best = votes.withColumn("vote", F.struct("size", same.alias("same"), F.when(same, F.col("source.turn")).alias("turn"))).groupBy("q_at").agg(F.max_by("source", F.struct("vote", "source")).alias("q_quoted_at"))
-    places = base.select("q_at").distinct().withColumn("q_before", F.lag("q_at").over(Window.partitionBy("q_at.conv").orderBy("q_at.turn")))
-    parents = places.join(linked, "q_at", "left").join(best, "q_at", "left").select("q_at", F.coalesce("q_linked", F.lit(0)).alias("q_linked"), F.coalesce("q_quoted_at", "q_before").alias("q_parent"))
+    places = _placed(base.select("q_at").distinct())
+    parents = places.join(linked, "q_at", "left").join(best, "q_at", "left").withColumn("q_parent", F.coalesce("q_quoted_at", "q_before"))
+    parents = _segments(parents.select("q_at", F.coalesce("q_linked", F.lit(0)).alias("q_linked"), "q_parent", "q_before", *CONV, "q_pos"))
     on = F.col("b.q_at").eqNullSafe(F.col("p.q_at"))
-    return base.alias("b").join(parents.alias("p"), on, "left").select("b.*", F.size("b.q_quoted").alias("q_quotes"), "p.q_linked", "p.q_parent").drop("q_own", "q_quoted")
+    return base.alias("b").join(parents.alias("p"), on, "left").select("b.*", F.size("b.q_quoted").alias("q_quotes"), "p.q_linked", "p.q_parent", "p.q_head", "p.q_off").drop("q_own", "q_quoted")
+
+
+#: A conversation as two columns without nulls; its messages are numbered and scanned so many at a time, so that a long one is no single task's.
+CONV, STRETCH = ("q_c0", "q_c1"), 4096
+
+
+def _placed(places: DataFrame) -> DataFrame:
+    """Adds the conversation's columns, q_pos (place in the conversation), and q_before (the message before)."""
+    named = places.withColumns({CONV[0]: F.col("q_at.conv").isNull(), CONV[1]: F.coalesce(F.col("q_at.conv").cast("string"), F.lit(""))})
+    at = cut(ranked(named, CONV, F.coalesce(F.floor(F.col("q_at.turn") / 1024), F.lit(-1)), [F.col("q_at.turn").asc_nulls_first()], "q_pos"))
+    return at.join(at.select(*CONV, (F.col("q_pos") + 1).alias("q_pos"), F.col("q_at").alias("q_before")), [*CONV, "q_pos"], "left")
+
+
+def _segments(parents: DataFrame) -> DataFrame:
+    """Adds q_head and q_off: a message that doesn't reply to the one before it heads a segment, the others follow their head so many steps behind."""
+    heads = F.when(F.col("q_before").isNull() | ~F.col("q_parent").eqNullSafe(F.col("q_before")), F.struct(F.col("q_pos").alias("pos"), F.col("q_at").alias("at")))
+    marked = cut(parents.withColumn("q_h", heads).withColumn("q_stretch", F.floor(F.col("q_pos") / STRETCH)))
+    so_far = Window.partitionBy(*CONV, "q_stretch").orderBy("q_pos")
+    before = Window.partitionBy(*CONV).orderBy("q_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy(*CONV, "q_stretch").agg(F.max("q_h").alias("q_last")).withColumn("q_carry", F.max("q_last").over(before)).drop("q_last")
+    found = marked.withColumn("q_h", F.max("q_h").over(so_far)).join(carried, [*CONV, "q_stretch"]).withColumn("q_h", F.coalesce("q_h", "q_carry"))
+    return found.select("q_at", "q_linked", "q_parent", F.col("q_h.at").alias("q_head"), (F.col("q_pos") - F.col("q_h.pos")).alias("q_off"))
 
 
 def threads(linked: DataFrame) -> DataFrame:
-    """(q_at, root, depth) of each message: the pointers to parents, doubled until all reach a root."""
-    at = cut(linked.select("q_at", "q_parent").groupBy("q_at").agg(F.min("q_parent").alias("up")))
-    at = cut(at.select("q_at", F.coalesce("up", "q_at").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.least("q_at", F.coalesce("up", "q_at")).alias("least")))
+    """(q_at, root, depth) of each message: the pointers of segments' heads, doubled until all reach a root."""
+    every = cut(linked.groupBy("q_at").agg(F.min("q_parent").alias("parent"), F.min("q_head").alias("head"), F.min("q_off").alias("off")))
+    at = every.filter("off = 0").join(every.select(F.col("q_at").alias("parent"), F.col("head").alias("up"), (F.col("off") + 1).alias("steps")), "parent", "left")
+    at = cut(at.select("q_at", F.coalesce("up", "q_at").alias("up"), F.coalesce("steps", F.lit(0)).alias("steps"), F.least("q_at", F.coalesce("up", "q_at")).alias("least")))
+    most = 2 * every.count()
     while True:
-        far = at.select(F.col("q_at").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("least").alias("least2"))
-        after = cut(at.join(far, "up").select("q_at", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("least", "least2").alias("least"), (F.col("steps2") > 0).alias("moved")))
-        moving, most = after.agg(F.count_if("moved"), F.max("steps")).first()
-        at = after.drop("moved")
-        if not moving:
-            return at.select("q_at", F.col("up").alias("root"), F.col("steps").alias("depth"))
-        if most > 2 * at.count():  # only a circle takes more steps than there are messages
+        moving = at.filter("steps > 0")
+        far = at.filter("steps > 0").select(F.col("q_at").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("least").alias("least2"))
+        if not moving.join(far.select("up"), "up", "left_semi").limit(1).count():
+            roots = at.select(F.col("q_at").alias("head"), F.col("up").alias("root"), "steps")
+            return every.join(roots, "head").select("q_at", "root", (F.col("off") + F.col("steps")).alias("depth"))
+        after = moving.join(far, "up", "left").select("q_at", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.least("least", F.coalesce("least2", "least")).alias("least"))
+        at = cut(after.unionByName(at.filter("steps = 0")))
+        if at.agg(F.max("steps")).first()[0] > most:  # only a circle takes more steps than there are messages
             inside = at.filter("steps > 0").join(at.select(F.col("up").alias("q_at")).distinct(), "q_at", "left_semi")
             ring = inside.select(F.col("least").alias("q_at")).distinct().withColumn("cut", F.lit(True))
-            cutoff = linked.join(ring, "q_at", "left")
-            return threads(cutoff.select("q_at", F.when(F.col("cut").isNull(), F.col("q_parent")).alias("q_parent")))
+            open_ = linked.join(ring, "q_at", "left")
+            return threads(open_.select("q_at", F.when(F.col("cut").isNull(), F.col("q_parent")).alias("q_parent"), "q_head", "q_off"))
 
 
 def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -135,4 +161,4 @@ def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     order = [F.col("q_at.conv").asc_nulls_first(), F.col("q_at.turn").asc_nulls_first(), F.xxhash64("q_text")]
     found = found.withColumn("q_parent", F.when(F.col("root") != F.col("q_at"), F.col("q_parent")))
     out = ranked(found.withColumnsRenamed({"root": "q_root", "depth": "q_depth"}), ["q_r1", "q_r2"], F.col("q_depth"), order, "q_position")
-    return out.drop("q_r1", "q_r2", "q_at")
+    return out.drop("q_r1", "q_r2", "q_at", "q_head", "q_off")
