@@ -37,7 +37,7 @@ BLOCK = LENGTH - PERIOD + 1
 #: Bits of a code beyond those that number all samples; samples that agree in them by chance cost time only.
 SPARE_BITS = 11
 #: Samples in a bucket.
-BUCKET = 3_000_000
+BUCKET = 1_500_000
 PART = 1 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -98,10 +98,10 @@ def _many_samples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             flush()
             h = _samples(t)[1]
             hashes.append(h)
-            numbers.append(np.full(len(h), i))
+            numbers.append(np.full(len(h), i, dtype=np.uint16))
             continue
         own = _cover_places(0, len(t) - BLOCK + 1) if len(t) >= LENGTH else _places[0][:0]
-        numbers.append(np.full(len(own), i))
+        numbers.append(np.full(len(own), i, dtype=np.uint16))
         group.append(t)
         base.append(own + size)
         size += len(t)
@@ -109,7 +109,7 @@ def _many_samples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             flush()
     flush()
     if not numbers:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.uint64)
     return np.concatenate(numbers), np.concatenate(hashes)
 
 
@@ -117,16 +117,18 @@ def _repeated_samples(texts: DataFrame, total: int) -> tuple[DataFrame, int]:
     """(digest, codes), and the bits of a code: for each text, by its digest, the low 32 bits of the sample codes that another text has too."""
     samples = max(1, total * len(COVER) // PERIOD)
     bits = min(56, math.ceil(math.log2(samples + 1)) + SPARE_BITS)
-    number_bits = min(15, 63 - bits)
+    number_bits = min(12, 63 - bits)
     bucket_bits = max(0, math.ceil(math.log2(samples / BUCKET))) if samples > BUCKET else 0
 
     def pack(batches):
         for batch in batches:
-            digests, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a in range(0, len(data), 1 << number_bits):
+            digests = batch.column(0).to_numpy()
+            for a in range(0, len(digests), 1 << number_bits):
                 own = digests[a : a + (1 << number_bits)]
-                numbers, hashes = _many_samples(data[a : a + (1 << number_bits)])
-                both = hashes >> np.uint64(64 - bits) << np.uint64(number_bits) | numbers.astype(np.uint64)
+                numbers, both = _many_samples(batch.column(1).slice(a, 1 << number_bits).to_pylist())
+                both >>= np.uint64(64 - bits)
+                both <<= np.uint64(number_bits)
+                both |= numbers
                 both.sort()
                 both = both[np.diff(both, prepend=both[:1] - np.uint64(1)) > 0]
                 codes, numbers = both >> np.uint64(number_bits), (both & np.uint64((1 << number_bits) - 1)).astype(np.uint16)
