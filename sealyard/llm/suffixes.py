@@ -39,6 +39,8 @@ SPARE_BITS = 11
 #: Samples in a bucket.
 BUCKET = 1_500_000
 PART = 1 << 20
+#: Runs that a task holds before it passes them on.
+AT_ONCE = 100_000
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -244,29 +246,39 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     flagged = long_.select("key", "digest", "data").join(reps.join(replies, "digest"), ["key", "digest"])
 
     def emit(batches):
-        for batch in batches:
-            rows: dict[tuple[int, bytes], list] = {}
-            again = []
-            for k, digest, d, codes in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "data", "codes")), strict=True):
-                for code, a, b in _runs(d, _candidates(d, codes, bits)):
-                    piece = d[a : b + LENGTH - 1]
-                    own = (k, digest, a)
-                    first = rows.get((code, piece))
-                    # Of equal runs in one batch the first document's goes on; the others are known to repeat.
-                    if first is None:
-                        rows[code, piece] = own
-                    elif first[0] == k:
-                        again.append((code, *own, piece, False))
-                    elif first[0] < k:
-                        again.append((code, *own, piece, True))
-                    else:
-                        again.append((code, *first, piece, True))
-                        rows[code, piece] = own
+        rows: dict[tuple[int, bytes], tuple] = {}
+        again: list[tuple] = []
+
+        def flush(key_type):
             out = [(code, *own, piece, False) for (code, piece), own in rows.items()] + again
-            for a in range(0, len(out), 100_000):
-                cols = list(zip(*out[a : a + 100_000], strict=True))
-                kinds = (pa.int64(), batch.column("key").type, pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["code", "key", "digest", "at", "piece", "known"])
+            rows.clear(), again.clear()
+            kinds = (pa.int64(), key_type, pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["code", "key", "digest", "at", "piece", "known"])
+
+        key_type = None
+        for batch in batches:
+            key_type = batch.column("key").type
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                for k, digest, d, codes in zip(*(part.column(c).to_pylist() for c in ("key", "digest", "data", "codes")), strict=True):
+                    for code, a, b in _runs(d, _candidates(d, codes, bits)):
+                        piece = d[a : b + LENGTH - 1]
+                        own = (k, digest, a)
+                        first = rows.get((code, piece))
+                        # Of equal runs met here the first document's goes on; the others are known to repeat.
+                        if first is None:
+                            rows[code, piece] = own
+                        elif first[0] == k:
+                            again.append((code, *own, piece, False))
+                        elif first[0] < k:
+                            again.append((code, *own, piece, True))
+                        else:
+                            again.append((code, *first, piece, True))
+                            rows[code, piece] = own
+                    if len(rows) + len(again) > AT_ONCE:
+                        yield flush(key_type)
+        if rows or again:
+            yield flush(key_type)
 
     runs = flagged.select("key", "digest", "data", "codes").mapInArrow(emit, f"code long, key {kind}, digest long, at long, piece binary, known boolean")
     # What is known to repeat needs no comparison, so it is dealt by its text.
