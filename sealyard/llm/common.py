@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns that an operator is about to add."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the cluster's shared checkpoint folder; lineage ends there."""
     sc = df.sparkSession.sparkContext

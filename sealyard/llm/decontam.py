@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, windows_hash, words_of
+from .common import ALNUM, cut, windows_hash, without, words_of
 
 WINDOW = 13
 #: Share of a document's words that must be hit for it to count as contaminated: one in so many.
@@ -108,16 +108,17 @@ def _runs(hit: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]
     return [[int(start[a]), int(end[b - 1])] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-RESULT = "hit_n_words long, hit_n long, hit_items array<string>, hit_spans array<array<long>>"
 
-
-def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Adds to all columns of docs: hit_n_words, hit_n (words hit), hit_items (sorted), hit_spans (UTF-8 byte spans, end exclusive)."""
+def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, max_windows: int = MAX_WINDOWS, prefix: str = "hit_") -> DataFrame:
+    """Adds to all columns of docs, with the prefix: n_words, n (words hit), items (sorted), spans (UTF-8 byte spans, end exclusive). Columns so named are replaced."""
     spark = docs.sparkSession
     grams = item_windows(benchmark, item, item_text, n)
     total = grams.count()
     passes = max(1, -(-total // max_windows))
-    out = docs.withColumns({"hit_n_words": F.lit(None).cast("long"), "hit_n": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"), "hit_spans": F.array().cast("array<array<long>>")})
+    n_words, n_hit, items_, spans_ = new = [prefix + c for c in ("n_words", "n", "items", "spans")]
+    kinds = dict(zip(new, (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))), strict=True))
+    docs = without(docs, *new)
+    out = docs.withColumns({n_words: F.lit(None).cast("long"), n_hit: F.lit(0).cast("long"), items_: F.array().cast("array<string>"), spans_: F.array().cast("array<array<long>>")})
     for k in range(passes):
         rows = [tuple(r) for r in grams.filter(F.pmod(F.xxhash64("words"), F.lit(passes)) == k).collect()]
         shared = spark.sparkContext.broadcast(rows)
@@ -127,8 +128,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             known = _Grams(shared.value)
             for batch in batches:
                 texts = batch.column(text).to_pylist()
-                before = [batch.column(names.index(c)).to_pylist() for c in ("hit_items", "hit_spans")]
-                cols = {"hit_n_words": [], "hit_n": [], "hit_items": [], "hit_spans": []}
+                before = [batch.column(names.index(c)).to_pylist() for c in (items_, spans_)]
+                cols = {c: [] for c in new}
                 for part in words_of(texts, ALNUM):
                     bounds, hit = part.bounds(), np.zeros(len(part.hashes), dtype=bool)
                     starts = part.start
@@ -138,14 +139,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                             hit[own] |= (starts[own] >= a) & (part.end[own] <= b)
                     found = known.scan(part, _Lazy(texts), hit)
                     sums = np.concatenate([[0], np.cumsum(hit)])[bounds]
-                    cols["hit_n_words"] += np.diff(bounds).tolist()
-                    cols["hit_n"] += np.diff(sums).tolist()
+                    cols[n_words] += np.diff(bounds).tolist()
+                    cols[n_hit] += np.diff(sums).tolist()
                     for i in range(part.count):
                         own = slice(bounds[i], bounds[i + 1])
-                        cols["hit_items"].append(sorted({*(before[0][part.first + i] or ()), *found.get(i, ())}))
-                        cols["hit_spans"].append(_runs(hit[own], part.start[own], part.end[own]) if sums[i + 1] > sums[i] else [])
-                kinds_ = {"hit_n_words": pa.int64(), "hit_n": pa.int64(), "hit_items": pa.list_(pa.string()), "hit_spans": pa.list_(pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([pa.array(cols[c], kinds_[c]) if c in cols else batch.column(j) for j, c in enumerate(names)], names=names)
+                        cols[items_].append(sorted({*(before[0][part.first + i] or ()), *found.get(i, ())}))
+                        cols[spans_].append(_runs(hit[own], part.start[own], part.end[own]) if sums[i + 1] > sums[i] else [])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[c], kinds[c]) if c in cols else batch.column(j) for j, c in enumerate(names)], names=names)
 
         out = out.mapInArrow(scan, schema)
         if passes > 1:
@@ -154,21 +154,23 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     return out
 
 
-def contaminated(one_in: int = ONE_IN):
+def contaminated(one_in: int = ONE_IN, prefix: str = "hit_"):
     """At least one word in so many is hit."""
-    return (F.col("hit_n") > 0) & (F.col("hit_n") * one_in >= F.col("hit_n_words"))
+    n = F.col(f"{prefix}n")
+    return (n > 0) & (n * one_in >= F.col(f"{prefix}n_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", one_in: int = ONE_IN, **options) -> DataFrame:
     """docs without its contaminated documents, or with the hit spans taken out of every text (remove='spans')."""
-    found = find_windows(docs, benchmark, text, **options)
+    own = "__hit_"
+    found = find_windows(docs, benchmark, text, prefix=own, **options)
     if remove == "documents":
-        return found.filter(~contaminated(one_in)).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return found.filter(~contaminated(one_in, own)).select(*[F.col(f"`{c}`") for c in docs.columns])
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
 
     @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t, s):
             if t is None or not len(s):
                 return t
@@ -180,4 +182,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return found.withColumn(text, without(F.col(text), F.col("hit_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn(text, cleaned(F.col(text), F.col(f"{own}spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,8 @@ it than all but REJECT of the sample were from theirs.
 
 Bound: PER_LANGUAGE documents of each language are learned from, those of the least hashes of the id, outside fold 2; all
 languages of the table are learned. Null texts, and texts without a letter, are 'und' with score 0. Whole texts are read, in parts of
-bounded memory. Rows without a language are not learned from. If nothing was learned, every text is 'und'. Extra columns pass through.
+bounded memory. Rows without a language are not learned from. If nothing was learned, every text is 'und'. Extra columns
+pass through; columns named as those that are added are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, without
 
 DIMENSIONS, CENTROIDS, PER_LANGUAGE, ROUNDS, REJECT = 1 << 13, 3, 300, 12, 0.005
 UNKNOWN = "und"
@@ -133,6 +134,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def identify(docs: DataFrame, languages, text: str = "text") -> DataFrame:
     """Adds lang_pred, lang_score and lang_rejected to all columns of docs."""
+    docs = without(docs, "lang_pred", "lang_score", "lang_rejected")
     names = docs.columns
     out = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(False)})
 

@@ -51,36 +51,41 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     )
 
 
-def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """Adds mix_size, mix_source_size, mix_target and mix_copies to all columns of docs."""
-    sized = docs.withColumns(
+def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: float = MOST, prefix: str = "mix_") -> DataFrame:
+    """Adds size, source_size, target and copies, each with the prefix, to all columns of docs; columns so named are replaced."""
+    p = prefix
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith(p)])
+    own = docs.withColumns(
         {
-            "mix_size": word_count(F.col(text)),
-            "mix_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
-            "mix_null": F.col(source).isNull(),
-            "mix_key": F.coalesce(F.col(key).cast("string"), F.lit("null")),
+            f"{p}size": word_count(F.col(text)),
+            f"{p}source": F.coalesce(F.col(source).cast("string"), F.lit("")),
+            f"{p}null": F.col(source).isNull(),
+            f"{p}key": F.coalesce(F.col(key).cast("string"), F.lit("null")),
         }
     )
-    sized = sized.withColumn("mix_u", md5_unit(F.lit("copy"), F.col("mix_key")))
-    sizes = sized.groupBy("mix_source", "mix_null").agg(F.sum("mix_size").alias("source_size"))
-    plan = targets(sizes.select(F.when(~F.col("mix_null"), F.col("mix_source")).alias("source"), "source_size"), weights, most)
+    sized = own.withColumn(f"{p}u", md5_unit(F.lit("copy"), F.col(f"{p}key")))
+    sizes = sized.groupBy(f"{p}source", f"{p}null").agg(F.sum(f"{p}size").alias("source_size"))
+    plan = targets(sizes.select(F.when(~F.col(f"{p}null"), F.col(f"{p}source")).alias("source"), "source_size"), weights, most)
     plan = plan.select(
-        F.coalesce("source", F.lit("")).alias("mix_source"),
-        F.col("source").isNull().alias("mix_null"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.col("rate").alias("mix_rate"),
-        md5_unit(F.lit("start"), F.coalesce("source", F.lit(""))).alias("mix_start"),
+        F.coalesce("source", F.lit("")).alias(f"{p}source"),
+        F.col("source").isNull().alias(f"{p}null"),
+        F.col("source_size").alias(f"{p}source_size"),
+        F.col("target").alias(f"{p}target"),
+        F.col("rate").alias(f"{p}rate"),
+        md5_unit(F.lit("start"), F.coalesce("source", F.lit(""))).alias(f"{p}start"),
     )
     # Size classes of a sixteenth of a power of two, each in 16 parts by hash, are sorted apart from each other.
-    size_class = F.floor(F.log2(F.col("mix_size") + 1) * 16) * 16 + F.floor(F.col("mix_u") * 16)
-    drawn = ranked(sized, ["mix_source", "mix_null"], size_class, [F.col("mix_u"), F.col("mix_key"), F.col("mix_size")], "mix_rank", plan)
-    part, r, start = F.col("mix_rate") - F.floor("mix_rate"), F.col("mix_rank"), F.col("mix_start")
-    taken = F.floor("mix_rate") + F.floor(part * (r + 1) + start) - F.floor(part * r + start)
-    return drawn.withColumn("mix_copies", taken.cast("int")).drop("mix_source", "mix_null", "mix_key", "mix_u", "mix_rank", "mix_rate", "mix_start")
+    u, size = F.col(f"{p}u"), F.col(f"{p}size")
+    size_class = F.floor(F.log2(size + 1) * 16) * 16 + F.floor(u * 16)
+    drawn = ranked(sized, [f"{p}source", f"{p}null"], size_class, [u, F.col(f"{p}key"), size], f"{p}rank", plan)
+    rate, r, start = F.col(f"{p}rate"), F.col(f"{p}rank"), F.col(f"{p}start")
+    part = rate - F.floor(rate)
+    taken = F.floor(rate) + F.floor(part * (r + 1) + start) - F.floor(part * r + start)
+    return drawn.withColumn(f"{p}copies", taken.cast("int")).drop(*[f"{p}{c}" for c in ("source", "null", "key", "u", "rank", "rate", "start")])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    drawn = copies(docs, **options)
-    return drawn.withColumn("mix_copy", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies"))))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    n = F.col("__mix_copies")
+    drawn = copies(docs, prefix="__mix_", **options)
+    return drawn.withColumn("__mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,8 @@ a dot; for each piece rewritten it notes where source and output stood. Identifi
 the source characters that they were read from. A found span that overlaps a plain one of the same kind adds nothing.
 
 Offsets count code points; ends are exclusive. Null is treated as empty: no spans. Repeated rows give repeated results,
-very long texts are read whole (both passes take linear time), and columns but the text pass through.
+very long texts are read whole (both passes take linear time), an empty table gives an empty table, and other columns pass through; columns
+named as those that are added are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, word_hashes, words_of
+from .common import ALNUM, without, word_hashes, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -244,6 +245,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds pii_plain and pii_disguised, arrays of (kind, start, end), to all columns of docs."""
+    docs = without(docs, "pii_plain", "pii_disguised")
     names = docs.columns
     kind = "array<struct<kind:string,start:long,end:long>>"
     out = docs.withColumns({"pii_plain": F.lit(None).cast(kind), "pii_disguised": F.lit(None).cast(kind)})
@@ -258,7 +260,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
                 more.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in disguised(t or "", base, *hint)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(plain, _SPAN), pa.array(more, _SPAN)], names=[*names, "pii_plain", "pii_disguised"])
 
-    return docs.select("*").mapInArrow(run, out.schema)
+    return docs.mapInArrow(run, out.schema)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -266,7 +268,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     import pandas as pd
 
     @F.pandas_udf("string")
-    def without(texts: pd.Series, plain: pd.Series, more: pd.Series) -> pd.Series:
+    def blanked(texts: pd.Series, plain: pd.Series, more: pd.Series) -> pd.Series:
         def one(t, found):
             out, at = [], 0
             for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
@@ -277,4 +279,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return pd.Series([None if t is None else one(t, [*a, *b]) for t, a, b in zip(texts, plain, more, strict=True)], dtype=object)
 
-    return find_pii(docs, text).withColumn(text, without(text, "pii_plain", "pii_disguised")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = without(docs, "pii_plain", "pii_disguised")
+    return find_pii(docs, text).withColumn(text, blanked(text, "pii_plain", "pii_disguised")).select(*[F.col(f"`{c}`") for c in docs.columns])

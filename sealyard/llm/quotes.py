@@ -15,7 +15,7 @@ Threads are followed to their root by pointer doubling; a link never leads to a
 
 Null texts are empty. Messages without text stay, as do repeated rows; of rows with the same (conversation, turn) each gets the
 same parent. Very long messages are parsed line by line. Null conversations are one conversation, null turns come first. An empty
-table gives an empty table.
+table gives an empty table. Columns whose names begin with q_ are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -66,6 +66,7 @@ def pieces(text: str) -> list[str]:
 
 def _parsed(messages: DataFrame, text: str) -> DataFrame:
     """Adds q_text (own text), q_own (normalised pieces) and q_quoted: for each passage its level, length and pieces."""
+    messages = messages.drop(*[c for c in messages.columns if c.lower().startswith("q_")])
     names = messages.columns
     out = messages.selectExpr("*", "'' AS q_text", "cast(array() AS array<string>) AS q_own", "cast(array() AS array<struct<level:int,pieces:array<string>>>) AS q_quoted")
     kind = pa.list_(pa.struct([("level", pa.int32()), ("pieces", pa.list_(pa.string()))]))
@@ -156,9 +157,10 @@ def threads(linked: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """`link` with q_root, q_depth and q_position: a parent comes before its replies, each thread is numbered from 0."""
     linked = cut(link(messages, conv, turn, text))
-    found = linked.join(threads(linked), "q_at")
-    found = found.withColumns({"q_r1": F.coalesce(F.col("root.conv").cast("string"), F.lit("")), "q_r2": F.coalesce(F.col("root.turn").cast("string"), F.lit(""))})
+    ends = threads(linked).select("q_at", F.col("root").alias("q_root"), F.col("depth").alias("q_depth"))
+    found = linked.join(ends, "q_at")
+    found = found.withColumns({"q_r1": F.coalesce(F.col("q_root.conv").cast("string"), F.lit("")), "q_r2": F.coalesce(F.col("q_root.turn").cast("string"), F.lit(""))})
     order = [F.col("q_at.conv").asc_nulls_first(), F.col("q_at.turn").asc_nulls_first(), F.xxhash64("q_text")]
-    found = found.withColumn("q_parent", F.when(F.col("root") != F.col("q_at"), F.col("q_parent")))
-    out = ranked(found.withColumnsRenamed({"root": "q_root", "depth": "q_depth"}), ["q_r1", "q_r2"], F.col("q_depth"), order, "q_position")
+    found = found.withColumn("q_parent", F.when(F.col("q_root") != F.col("q_at"), F.col("q_parent")))
+    out = ranked(found, ["q_r1", "q_r2"], F.col("q_depth"), order, "q_position")
     return out.drop("q_r1", "q_r2", "q_at", "q_head", "q_off")
