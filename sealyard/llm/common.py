@@ -19,6 +19,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
+def private(df: DataFrame, prefix: str) -> str:
+    """The prefix, with as many underscores before it as make it no column's."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the cluster's shared checkpoint folder; lineage ends there."""
     sc = df.sparkSession.sparkContext
@@ -194,21 +201,18 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], count:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, component): the smallest node that each can reach; nodes without an edge are left out.
 
-    Alternates two steps until nothing changes: every node's larger neighbours, then its smaller ones, are linked to the
+    Alternates two steps until only stars are left: every node's larger neighbours, then its smaller ones, are linked to the
     smallest that it knows. The number of rounds grows as the logarithm of the longest path.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
     while True:
+        children, rows = e.agg(F.count_distinct("u"), F.count("*")).first()
+        # In a star forest each child has one parent, and no parent is a child.
+        if children == rows and not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
-        total = 2 * e.count()
-        large = cut(join_counted(both, least, ["u"], "n", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = cut(join_counted(both, least, ["u"], "n", 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        total = large.count()
-        small = join_counted(large, least, ["u"], "n", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == now:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
+        small = join_counted(large, least, ["u"], "n", 2 * rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, windows_hash, without, words_of
+from .common import ALNUM, cut, private, windows_hash, without, words_of
 
 WINDOW = 13
 #: Share of a document's words that must be hit for it to count as contaminated: one in so many.
@@ -162,7 +162,7 @@ def contaminated(one_in: int = ONE_IN, prefix: str = "hit_"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", one_in: int = ONE_IN, **options) -> DataFrame:
     """docs without its contaminated documents, or with the hit spans taken out of every text (remove='spans')."""
-    own = "__hit_"
+    own = private(docs, "__hit_")
     found = find_windows(docs, benchmark, text, prefix=own, **options)
     if remove == "documents":
         return found.filter(~contaminated(one_in, own)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import md5_unit, ranked
+from .common import md5_unit, private, ranked
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -86,6 +86,7 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    n = F.col("__mix_copies")
-    drawn = copies(docs, prefix="__mix_", **options)
-    return drawn.withColumn("__mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = private(docs, "__mix_")
+    n = F.col(f"{p}copies")
+    drawn = copies(docs, prefix=p, **options)
+    return drawn.withColumn(f"{p}copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,6 +16,7 @@ import re
 from bisect import bisect_right
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,8 +266,6 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each found span replaced by its kind in brackets."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def blanked(texts: pd.Series, plain: pd.Series, more: pd.Series) -> pd.Series:
         def one(t, found):

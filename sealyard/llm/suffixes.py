@@ -173,7 +173,7 @@ def _repeated_samples(texts: DataFrame, total: int) -> tuple[DataFrame, int]:
         order = np.argsort(owner)
         code, owner = code[order].astype(np.uint32), owner[order]
         start = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1)) if len(owner) else np.zeros(0, dtype=np.int64)
-        ends = np.append(start[1:], len(owner))
+        ends = np.append(start[1:], len(owner)) if len(owner) else start
         return pa.table({"digest": pa.array(owner[start]), "codes": pa.array([np.unique(code[a:b]).tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())})
 
     found = packs.groupBy("bucket").applyInArrow(sort_bucket, "digest long, codes binary")
