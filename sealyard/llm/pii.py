@@ -110,6 +110,10 @@ _SPELLED_PART = re.compile(rf"(?P<plus>plus[ -]?)|(?P<name>(?<![^\W_]){_NAME}(?!
 
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|klammeraffe)", r"(?:dot|point|punkt|punto)"
 _BRACKETED = re.compile(rf"[ ]?[\[({{<][ ]?(?:(?P<at>{_AT_WORD}|@)|(?P<dot>{_DOT_WORD}|\.))[ ]?[\])}}>][ ]?", re.I)
+#: Letters that stand for digits, in runs that are mostly digits.
+_LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_MIXED = re.compile(r"(?<![^\W_])(?=[+]?[0-9OolI ().-]*[0-9][ ().-]{0,2}[OolI]|[+]?[OolI][ .-]?[0-9])[+]?[0-9OolI](?:[ ().-]{0,2}[0-9OolI]){6,}(?![^\W_])")
+_MIXED_HINT = re.compile(r"[0-9][ .-]?[OolI][ .-]?[0-9]|[0-9][OolI](?![^\W_])|(?<![^\W_])[OolI][0-9]")
 _BRACKET_FIRST = re.compile(rf"[\[({{<][ ]?(?:{_AT_WORD}|{_DOT_WORD}|@|\.)", re.I)
 #: Bare words count only where a whole address is spelled: name at host dot end, or name at host.end in small letters.
 _BARE = re.compile(
@@ -118,7 +122,7 @@ _BARE = re.compile(
     re.I,
 )
 _BARE_PART = re.compile(rf"(?P<at>[ ]{_AT_WORD}[ ])|(?P<dot>[ ]{_DOT_WORD}[ ])", re.I)
-_AT_HOST = re.compile(r" at [a-z0-9-]+\.[a-z0-9]")
+_AT_HOST = re.compile(r" (?:at|AT|At|arroba|arobase) [a-z0-9-]+\.[a-z0-9]")
 #: Spaces around a sign, as in "name @ host . com".
 _LOOSE = re.compile(r"(?<=[A-Za-z0-9])(?:[ ]+@[ ]*|@[ ]+)(?=[A-Za-z0-9-]+[ ]?\.[ ]?[A-Za-z0-9])|(?<=[A-Za-z0-9])[ ]\.[ ](?=[A-Za-z0-9])")
 
@@ -190,6 +194,9 @@ def rewrite(text: str, spelled: bool = True, bare: bool = True) -> Rewritten:
     odd = bool(r.layers)
     if spelled or odd:
         _inside(_SPELLED, _SPELLED_PART, lambda p: {"plus": "+", "dot": ".", "gap": ""}.get(p.lastgroup) if p.lastgroup != "name" else _DIGITS[p[0].lower()], r)
+    if _MIXED_HINT.search(r.text):
+        mostly = lambda m: 2 * sum(c in _LETTER_DIGITS for c in m[0]) <= sum(c.isdigit() for c in m[0])
+        r.replace(_MIXED, lambda m: m[0].translate(str.maketrans(_LETTER_DIGITS)) if mostly(m) else m[0])
     if _BRACKET_FIRST.search(r.text):
         r.replace(_BRACKETED, lambda m: "@" if m["at"] else ".")
     if "@" in r.text and (" @" in r.text or "@ " in r.text or " . " in r.text):

@@ -102,6 +102,12 @@ def test_components(spark):
         ("+1 980 five five five six two six eight", ["phone:+1 980 five five five six two six eight"]),
         ("４８４５１６８１１４４０７３２９", ["card:４８４５１６８１１４４０７３２９"]),
         ("one two seven dot zero dot zero dot one", ["ip:one two seven dot zero dot zero dot one"]),
+        ("card 4845 l68l 1440 7329 now", ["card:4845 l68l 1440 7329"]),
+        ("from l92.168.0.1 on", []),
+        ("call +l 980 555 6268O", ["phone:+l 980 555 6268O"]),
+        ("jane AT mail7.example.com", ["email:jane AT mail7.example.com"]),
+        ("ana arroba correo.example.es", ["email:ana arroba correo.example.es"]),
+        ("all 12 oil 5 Io lol 10", []),
         ("look at that point. One or two", []),
         ("er at 12.5 and at www.example.com/x", []),
         ("uno dos tres", []),
