@@ -41,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def sliced(batches, rows: int = 1024):
+    """Smaller record batches, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; rows with 2 are held out from training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -107,11 +114,13 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of words: all but white space; or digits, a-z and all beyond ASCII.
+#: Bytes of words: all but white space; or digits, a-z and all beyond ASCII; or the latter without digits.
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
+LETTERS = ALNUM.copy()
+LETTERS[48:58] = False
 CHUNK = 1 << 19
 
 

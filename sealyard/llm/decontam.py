@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, private, windows_hash, without, words_of
+from .common import ALNUM, cut, private, sliced, windows_hash, without, words_of
 
 WINDOW = 13
 #: Share of a document's words that must be hit for it to count as contaminated: one in so many.
@@ -126,7 +126,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
         def scan(batches, shared=shared, names=names):
             known = _Grams(shared.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = batch.column(text).to_pylist()
                 before = [batch.column(names.index(c)).to_pylist() for c in (items_, spans_)]
                 cols = {c: [] for c in new}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _PRIME, NOT_SPACE, components, cut, join_counted, mix, ranked, windows_hash, words_of
+from .common import _PRIME, NOT_SPACE, components, cut, join_counted, mix, ranked, sliced, windows_hash, words_of
 
 SHINGLE, SIMILARITY = 5, 80
 BUCKETS, ROWS, MANTISSA = 288, 6, 10
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     kind = docs.schema[key].dataType
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             size, one, two, regs = [], [], [], []
             for s in _sets(batch.column(1).to_pylist(), n):
                 size.append(len(s))
@@ -213,7 +213,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame, key: str, text: str, n: int) ->
     """(rep, full) with the sorted 64-bit hashes of each class that has to be compared."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1).to_pylist(), n)], pa.binary())], names=["rep", "full"])
 
     kind = docs.schema[key].dataType.simpleString()

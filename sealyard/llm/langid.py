@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, without
+from .common import fold, sliced, without
 
 DIMENSIONS, CENTROIDS, PER_LANGUAGE, ROUNDS, REJECT = 1 << 13, 3, 300, 12, 0.005
 UNKNOWN = "und"
@@ -89,7 +89,8 @@ class Languages:
         return self.names[best], float(min(max(cosines[best], 0.0), 1.0)), bool(cosines[best] < self.least)
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Languages:
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS):
+    """A broadcast of what `Languages` is made of; some hundred kB a language."""
     spark = docs.sparkSession
     labelled = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang")).filter((fold(F.col("key")) != 2) & F.col("lang").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
@@ -128,8 +129,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     found = sample.groupBy("lang").applyInArrow(cluster, "lang string, centre binary, least double").orderBy("lang", "centre").collect()
     sample.unpersist()
     centres = np.stack([np.frombuffer(r.centre, dtype=np.float32) for r in found]) if found else np.zeros((0, DIMENSIONS), np.float32)
-    shared = spark.sparkContext.broadcast(Languages(idf, [r.lang for r in found], centres, min([r.least for r in found], default=0.0)))
-    return shared
+    return spark.sparkContext.broadcast({"idf": idf, "names": [r.lang for r in found], "centres": centres, "least": min([r.least for r in found], default=0.0)})
 
 
 def identify(docs: DataFrame, languages, text: str = "text") -> DataFrame:
@@ -139,8 +139,8 @@ def identify(docs: DataFrame, languages, text: str = "text") -> DataFrame:
     out = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(False)})
 
     def run(batches):
-        known = languages.value
-        for batch in batches:
+        known = Languages(**languages.value)
+        for batch in sliced(batches):
             found = [known.predict(t) for t in batch.column(names.index(text)).to_pylist()]
             own = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *own], names=[*names, "lang_pred", "lang_score", "lang_rejected"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, without, word_hashes, words_of
+from .common import ALNUM, sliced, without, word_hashes, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -259,7 +259,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumns({"pii_plain": F.lit(None).cast(kind), "pii_disguised": F.lit(None).cast(kind)})
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             plain, more = [], []
             texts = batch.column(names.index(text)).to_pylist()
             for t, hint in zip(texts, hints(texts), strict=True):
