@@ -66,6 +66,16 @@ def fresh(cache: DataFrame, now: int, ttl_ms: int = 1000) -> DataFrame:
     return cache.filter(F.lit(now) - F.col("ts") < ttl_ms)
 
 
+def living(records: DataFrame, now: int, ttl_seconds: int | None) -> DataFrame:
+    """Records that a collection's time to live still shows; they stay in the ledger."""
+    return records if ttl_seconds is None else records.filter(F.lit(now) - F.col("timestamp") < ttl_seconds * 1000)
+
+
+def entries_from(log: DataFrame, index: int) -> DataFrame:
+    """A replicated log's suffix."""
+    return log.filter(F.col("index") >= index)
+
+
 def hit_miss(reads: DataFrame, ledger: DataFrame) -> DataFrame:
     """Reads, hits and misses of the wanted keys."""
     known = ledger.select("key").distinct().withColumn("found", F.lit(True))

@@ -148,4 +148,8 @@ SELECT user_id, CASE WHEN arg_max(status, event_id) = 'Suspended' AND coalesce(m
     "identity_chain": f"WITH RECURSIVE {IDS} SELECT position, user_id, lower(hex(h)) AS identity_hash, lower(hex(c)) AS chain_hash FROM ch",
     "identity_chain_verify": "SELECT c_custkey AS position, c_custkey <> 100 AS ok FROM customer WHERE c_custkey <= 400",
     "temporal_permission": "SELECT event_id, event_id - 10 <= 5000 AND (event_id % 4 = 0 OR 5000 <= event_id + 10) AS valid FROM events",
+    "access_conditions": "SELECT event_id, event_id + 3 <= event_id + user_id % 7 AND event_id % 10 < 8 AND event_id % 3 IN (1, 2) AS allowed FROM events",
+    "living_records": f"WITH {DOCS} SELECT decode(key) AS key, ts * 1000 AS timestamp FROM d WHERE 600000 - ts * 1000 < 300000",
+    "log_suffix": f"WITH {RAFT} SELECT node_id, index, term FROM log WHERE index >= 90",
+    "role_permissions": "SELECT DISTINCT user_id, permission FROM events JOIN (VALUES (0, 'Read'), (1, 'Write'), (1, 'Read'), (2, 'Admin')) r(k, permission) ON event_id % 3 = k",
 }

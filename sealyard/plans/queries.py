@@ -465,3 +465,31 @@ def identity_chain_verify(spark, sf_dir):
 def temporal_permission(spark, sf_dir):
     e = I.events(spark, sf_dir)
     return e.select("event_id", identity.valid_at(F.col("e") - 10, F.when(F.col("e") % 4 != 0, F.col("e") + 10), F.lit(5000)).alias("valid"))
+
+
+@query
+def access_conditions(spark, sf_dir):
+    """All conditions of an access hold: time, number of operations, address, second factor."""
+    e = F.col("e")
+    fields = lambda kind, low, high, listed: F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low"), high.cast("long").alias("high"), listed.alias("list"))
+    none = F.array().cast("array<string>")
+    conditions = F.array(fields("TimeRange", e - 5, e + F.col("user_id") % 7, none), fields("MaxOperations", F.lit(0), F.lit(8), none), fields("IPWhitelist", F.lit(0), F.lit(0), F.array(F.lit("10.0.0.1"), F.lit("10.0.0.2"))))
+    ip = F.concat(F.lit("10.0.0."), (e % 3).cast("string"))
+    return I.events(spark, sf_dir).select("event_id", identity.conditions_hold(conditions, e + 3, e % 10, ip, F.lit(False)).alias("allowed"))
+
+
+@query
+def living_records(spark, sf_dir):
+    return _plain(scans.living(I.document_records(spark, sf_dir).select("key", (F.col("timestamp") * 1000).alias("timestamp")), 600_000, 300))
+
+
+@query
+def log_suffix(spark, sf_dir):
+    return scans.entries_from(I.raft_log(spark, sf_dir), 90).select("node_id", "index", "term")
+
+
+@query
+def role_permissions(spark, sf_dir):
+    roles = spark.createDataFrame([("reader", "Read"), ("writer", "Write"), ("writer", "Read"), ("root", "Admin")], "role string, permission string")
+    own = I.events(spark, sf_dir).select(F.col("user_id"), F.element_at(F.array(F.lit("reader"), F.lit("writer"), F.lit("root")), (F.col("e") % 3 + 1).cast("int")).alias("role"))
+    return identity.role_permissions(own, roles)

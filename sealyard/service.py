@@ -121,6 +121,8 @@ class Service:
         found = next((u for u in self._events("user") if u["user_id"] == user), None)
         if found is None:
             raise NotFound(user)
+        if self.status(user) != "Active":
+            raise Denied("the account is not active")
         attempts = [(a["event_id"], a["ts"], a["user_id"], a["success"]) for a in self._events("login")]
         if attempts:
             log = self.spark.createDataFrame(attempts, "event_id long, ts long, user_id string, success boolean")
@@ -135,6 +137,24 @@ class Service:
         self._note("session", token, session_id=token, user_id=user, expires_at=self.now() + self.auth.session_seconds * 1000)
         return token
 
+    def users(self) -> list[str]:
+        return sorted(u["user_id"] for u in self._events("user"))
+
+    def status(self, user: str) -> str:
+        """Active unless the last change says otherwise; a suspension ends by itself."""
+        rows = [(e["event_id"], e["ts"], e["user_id"], e["status"], e["until"]) for e in self._events("status") if e["user_id"] == user]
+        if not rows:
+            return "Active"
+        changes = self.spark.createDataFrame(rows, "event_id long, ts long, user_id string, status string, until long")
+        return identity.status_at(changes, self.now()).first().status
+
+    def set_status(self, token: str, user: str, status: str, until: int | None = None) -> None:
+        """Active, Suspended (until a time, or open) or Revoked."""
+        actor = self._authorise(token, "ModifyUser", always=True)
+        if status not in ("Active", "Suspended", "Revoked"):
+            raise Invalid(status)
+        self._note("status", uuid.uuid4().hex, user_id=user, status=status, until=until, actor=actor)
+
     def logout(self, token: str) -> None:
         if not self.log.exists(f"session:{token}".encode()):
             raise NotFound("no such session")
@@ -172,7 +192,7 @@ class Service:
         if self.now() >= session["expires_at"]:
             raise Denied("the session has expired")
         asked = self.spark.createDataFrame([(session["user_id"], permission)], "user_id string, wanted string")
-        users = asked.select("user_id", F.lit(True).alias("active"))
+        users = asked.select("user_id", F.lit(self.status(session["user_id"]) == "Active").alias("active"))
         if identity.decisions(asked, users, identity.effective(self._permission_events())).first().decision != "allowed":
             raise Denied(permission)
         return session["user_id"]

@@ -92,6 +92,47 @@ def test_users(spark, tmp_path):
         s.write("k4", "v", token=root)
 
 
+def test_status(spark, tmp_path):
+    clock = Clock()
+    s = Service(spark, str(tmp_path), auth=AuthConfig(enabled=True), clock=clock)
+    s.create_user("root", "Str0ng!pass", ["Admin"])
+    s.create_user("bob", "Str0ng!pass", ["Read"])
+    root = s.login("root", "Str0ng!pass")
+    assert s.users() == ["bob", "root"] and s.status("bob") == "Active"
+    s.set_status(root, "bob", "Suspended", clock.t + 500)
+    with pytest.raises(Denied):
+        s.login("bob", "Str0ng!pass")
+    clock.t += 1000
+    assert s.status("bob") == "Active" and s.login("bob", "Str0ng!pass")
+    s.set_status(root, "bob", "Revoked")
+    with pytest.raises(Denied):
+        s.login("bob", "Str0ng!pass")
+
+
+def test_transaction_object(spark, tmp_path):
+    from sealyard.ledger import Ledger
+    from sealyard.transaction import Transaction
+
+    led = Ledger(spark, str(tmp_path / "l"))
+    with Transaction(led) as t:
+        t.put(b"a", b"1")
+        assert t.get(b"a") == b"1" and t.get(b"b") is None and led.get(b"a") is None
+    assert led.get(b"a") == b"1" and t.state == "Committed"
+    with pytest.raises(ZeroDivisionError), Transaction(led) as t:
+        t.put(b"b", b"2")
+        raise ZeroDivisionError
+    assert led.get(b"b") is None and t.state == "Aborted"
+    with pytest.raises(DuplicateKey), Transaction(led) as t:
+        t.put(b"c", b"3")
+        t.put(b"a", b"9")
+    assert led.get(b"c") is None
+    clock = Clock()
+    late = Transaction(led, timeout_ms=10, clock=clock)
+    clock.t += 100
+    with pytest.raises(Aborted):
+        late.put(b"d", b"4")
+
+
 def test_implications(spark):
     perms = identity.PERMISSIONS
     df = spark.createDataFrame([([p], w) for p in perms for w in perms], "held array<string>, wanted string")
