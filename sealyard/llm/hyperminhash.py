@@ -80,10 +80,11 @@ def bands(regs: np.ndarray) -> np.ndarray:
 def chance(n_a, n_b):
     """The probability that the registers of a bucket agree though the least hashes differ, for sets of n_a and n_b."""
     a, b = np.asarray(n_a, dtype=np.float64) / BUCKETS, np.asarray(n_b, dtype=np.float64) / BUCKETS
-    level = np.arange(64)
-    high, rate = 2.0**-level, (a + b)[..., None]
-    mass = (a * b / (a + b))[..., None] * (np.exp(-rate * high / 2) - np.exp(-rate * high))
-    return np.minimum((mass * high / 2 / 2**MANTISSA).sum(-1), 0.5)
+    rate, total, high = a + b, np.zeros(np.broadcast(a, b).shape), 1.0
+    for _ in range(64):  # level by level, as all at once take 64 times the memory
+        total += (np.exp(-rate * high / 2) - np.exp(-rate * high)) * (high / 2 / 2**MANTISSA)
+        high /= 2
+    return np.minimum(total * a * b / rate, 0.5)
 
 
 def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
@@ -240,7 +241,7 @@ def _compare(full: DataFrame, kind: str, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
 
-        for batch in batches:
+        for batch in sliced(batches, 256):
             cols = [batch.column(c).to_pylist() for c in ("cluster", "low", "high", "block", "rep", "full")]
             for cluster, low, high, block, *row in zip(*cols, strict=True):
                 if (cluster, low, high) != now:
