@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import ZERO32, block_hash, concat_all, merkle_root
+from ..functions.hashing import ZERO32, block_hash, concat_all, merkle_root, record_hash
 from ..schemas import BLOCK
 
 BATCH = 1000
@@ -19,12 +19,16 @@ def block_index(batch: int):
     return F.floor((F.col("sequence_number") - 1) / batch) + 1
 
 
-def grouped(records: DataFrame, batch: int = BATCH) -> DataFrame:
-    """(index, timestamp in s, hashes in order, merkle_root, first_sequence, n_records) of each block, full or not. A group has at most `batch` rows."""
+def grouped(records: DataFrame, batch: int = BATCH, check: bool = False) -> DataFrame:
+    """(index, timestamp in s, hashes in order, merkle_root, first_sequence, n_records) of each block, full or not. A group has at most `batch` rows.
+
+    With check also `wrong`: how many records don't have the hash that their fields give.
+    """
+    checked = F.count_if(F.col("hash") != record_hash("key", "value", "timestamp", "sequence_number")) if check else F.lit(0)
     ordered = F.array_sort(F.collect_list(F.struct("sequence_number", "hash")))
-    found = records.withColumn("index", block_index(batch).cast("long")).groupBy("index").agg(ordered.alias("r"), F.floor(F.max("timestamp") / 1000).cast("long").alias("timestamp"))
+    found = records.withColumn("index", block_index(batch).cast("long")).groupBy("index").agg(ordered.alias("r"), F.floor(F.max("timestamp") / 1000).cast("long").alias("timestamp"), checked.alias("wrong"))
     found = found.withColumn("hashes", F.transform("r", lambda x: x["hash"]))
-    return found.select("index", "timestamp", "hashes", merkle_root("hashes").alias("merkle_root"), F.get("r", F.lit(0))["sequence_number"].alias("first_sequence"), F.size("r").cast("long").alias("n_records"))
+    return found.select("index", "timestamp", "hashes", merkle_root("hashes").alias("merkle_root"), F.get("r", F.lit(0))["sequence_number"].alias("first_sequence"), F.size("r").cast("long").alias("n_records"), "wrong").drop(*([] if check else ["wrong"]))
 
 
 def genesis(spark, timestamp: int = 0) -> DataFrame:
@@ -63,9 +67,10 @@ def seal(records: DataFrame, previous: bytes, batch: int = BATCH, force: bool =
     return chained(groups if force else groups.filter(F.col("n_records") == batch), previous)
 
 
-def recomputed(blocks: DataFrame, records: DataFrame, batch: int = BATCH) -> DataFrame:
-    """Each stored header with the root and hash that its records give; in parallel, as the stored link is used."""
-    groups = grouped(records, batch).select("index", "hashes", F.col("merkle_root").alias("true_root"), F.col("n_records").alias("true_n"))
-    found = blocks.join(groups, "index", "left")
+def recomputed(blocks: DataFrame, records: DataFrame, batch: int = BATCH, check: bool = False) -> DataFrame:
+    """Each stored header with the root and hash that its records give (true_root, true_hash, true_n, wrong), in one pass over the records and in
+    parallel, as the stored link is used. With check also a row with null `hash` for each full block of records that no header stands for."""
+    groups = grouped(records, batch, check).select("index", "hashes", F.col("merkle_root").alias("true_root"), F.col("n_records").alias("true_n"), F.col("wrong") if check else F.lit(0).alias("wrong"))
+    found = blocks.join(groups, "index", "full_outer" if check else "left").filter(F.col("hash").isNotNull() | (F.col("true_n") == batch))
     joined = F.coalesce(concat_all("hashes"), F.lit(b""))
     return found.withColumn("true_hash", block_hash("index", "timestamp", "previous_hash", "merkle_root", "nonce", joined)).drop("hashes")
