@@ -80,9 +80,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    slim = docs.select("doc_id", "source", "text")
-    return mixing.copies(slim).select(
+    return mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
