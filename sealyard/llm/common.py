@@ -121,7 +121,8 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 LETTERS = ALNUM.copy()
 LETTERS[48:58] = False
-CHUNK = 1 << 19
+#: Bytes that are hashed at once: some 100 bytes of memory each, while they are.
+CHUNK = 1 << 17
 
 
 class Words:
