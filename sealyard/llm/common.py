@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -41,8 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def trim() -> None:
+    """Gives back to the system what earlier tasks of this Python worker have freed; the C library would keep it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(batches, rows: int = 1024):
     """Smaller record batches, so that what a task makes of one stays small."""
+    trim()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
