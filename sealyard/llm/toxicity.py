@@ -7,7 +7,10 @@ smaller one's. Log-likelihoods are compared per word: over the text, over what p
 window of WINDOW words where the toxic model does best. A logistic curve, fitted to the labelled texts of each fold as
 the counts of the other folds see them, turns the three into a probability.
 
-Bounds: at most MAX_ROWS labelled rows are learned from, those of the least hashes of the id; and at most MAX_GRAMS letter sequences, the most frequent, so that the model can be broadcast. Labels of rows in fold 2
+All labelled rows are learned from, and all their letter sequences count. The model is dealt to parts of some PART sequences by
+the three bytes before the letter, so that all that is known of a letter's orders from SHARED up is in one part; of the lower orders only the shared
+probabilities of three bytes are needed. Parts are built in tasks and broadcast one by one. A task takes the distinct words of some texts and loads the
+parts in turn, so neither the driver nor a worker holds more than one of them. Labels of rows in fold 2
 are never read. Null and empty texts have no words and get the score of no evidence. Several labels of one id count as the
 highest; null labels don't count. Without labels of both classes every score is the share of toxic labels (0 if none).
 Whole texts are scored, in parts of bounded memory; extra columns pass through.
@@ -15,15 +18,19 @@ Whole texts are scored, in parts of bounded memory; extra columns pass through.
 
 from __future__ import annotations
 
+import pickle
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, CHUNK, LOWER, fold, mix, private, sliced, trim, without
+from .common import LETTERS, CHUNK, LOWER, _hashed, cut, fold, private, sliced, trim, without
 
 ORDER, SHARED, WINDOW, DISCOUNT, STRENGTH, MARGIN, FLOOR, ECHO = 8, 4, 16, 0.75, 8, 1.0, 0.002, 4
-MAX_ROWS, MAX_GRAMS = 50_000, 300_000
+#: Sequences in a part of the model; bytes of text whose words are looked up together; labels that are broadcast, more are joined by a shuffle.
+PART, GROUP, FEW = 250_000, 1 << 23, 1_000_000
 THRESHOLD = 0.3
 _BYTE = np.uint64(8)
 
@@ -60,46 +67,38 @@ def _parts(data: bytes, size: int = CHUNK):
     yield data[at:]
 
 
-class Table:
-    """Numbers by 64-bit key, looked up for many keys at once: open addressing, at most half full."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.float32)
-        slot = self._slot(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            _, chosen = np.unique(slot[free], return_index=True)
-            put = free[chosen]
-            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
-            rest = np.ones(len(keys), dtype=bool)
-            rest[put] = False
-            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys):
-        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values, 0 for unknown keys, and which keys are known. Key 0 is unknown."""
-        out, known = np.zeros(len(keys), dtype=np.float32), np.zeros(len(keys), dtype=bool)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            there = self.keys[slot]
-            hit = there == keys[left]
-            out[left[hit]], known[left[hit]] = self.values[slot[hit]], True
-            go = ~hit & (there != 0)
-            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
-        return out, known & (keys != 0)
-
-
-def _kneser_ney(keys: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each order, the sequences and the probability of their last byte after the others, interpolated down to a uniform byte."""
-    levels = {ORDER: (keys, counts)}
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer sequences that end so
+def _get(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a table of ascending keys, 0 for unknown keys, and which keys are known. Key 0 is unknown."""
+    own, values = table
+    if not len(own):
+        return np.zeros(len(keys), dtype=np.float32), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    known = (own[at] == keys) & (keys != 0)
+    return np.where(known, values[at], np.float32(0)), known
+
+
+def _part(keys, parts: int):
+    """The part of each sequence, by the three bytes before its last one. `_part_column` says the same in SQL."""
+    spread = (((keys >> _BYTE) & np.uint64(0xFFFFFF)) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+    return ((spread >> np.uint64(12)) % np.uint64(parts)).astype(np.int64)
+
+
+def _part_column(gram, parts: int):
+    return F.expr(f"cast(shiftright((shiftrightunsigned(`{gram}`, 8) & 16777215L) * 2654435761L & 4294967295L, 12) % {parts} as int)")
+
+
+def _kneser_ney(keys: np.ndarray, counts: np.ndarray, top: int = ORDER, low: tuple[np.ndarray, np.ndarray] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each order, the sequences and the probability of their last byte after the others, interpolated down to a uniform byte.
+
+    With `low`, the sequences of order SHARED - 1 and their probabilities, only from SHARED up.
+    """
+    least = 1 if low is None else SHARED
+    levels = {top: (keys, counts)}
+    for order in range(top - 1, least - 1, -1):  # continuation counts: distinct longer sequences that end so
         longer = levels[order + 1][0]
         levels[order] = np.unique(longer & _mask(order), return_counts=True)
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for order in range(1, ORDER + 1):
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {} if low is None else {SHARED - 1: low}
+    for order in range(least, top + 1):
         own, c = levels[order]
         context, where = np.unique(own >> _BYTE, return_inverse=True)
         total, types = np.bincount(where, weights=c), np.bincount(where)
@@ -109,9 +108,12 @@ def _kneser_ney(keys: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndar
 
 
 class Model:
-    """Log-likelihood ratios of letters: for each order, of the sequences of either class, and of the contexts for letters new to them."""
+    """Log-likelihood ratios of letters: for each order, of the sequences of either class, and of the contexts for letters new to them.
 
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+    keys are the sequences of a part, ascending; totals are the classes' counts in all parts, low as in `_kneser_ney`.
+    """
+
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, totals: np.ndarray, low: tuple[np.ndarray, np.ndarray]):
         own, each = keys, np.stack([toxic, ordinary]).astype(np.float64)
         by_class = [(own, each)]
         for order in range(ORDER - 1, SHARED - 1, -1):
@@ -119,28 +121,38 @@ class Model:
             each = np.stack([np.bincount(where, weights=x, minlength=len(own)) for x in each])
             by_class.insert(0, (own, each))
         # The larger class is scaled down to the other, else the smaller one's model would expect whatever is new.
-        scale = np.minimum(1, each.sum(axis=1).min() / each.sum(axis=1))
-        shared = _kneser_ney(keys, (toxic + ordinary).astype(np.float64))
-        self.grams: dict[int, Table] = {}
-        self.backoff: dict[int, Table] = {}
+        scale = np.minimum(1, totals.min() / totals)
+        shared = _kneser_ney(keys, (toxic + ordinary).astype(np.float64), low=low)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.backoff: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for order, (own, c) in enumerate(by_class, SHARED):
             context, where = np.unique(own >> _BYTE, return_inverse=True)
             c = c * scale[:, None]
             total, taken = (np.stack([np.bincount(where, weights=x, minlength=len(context)) for x in y]) for y in (c, np.minimum(c, DISCOUNT)))
             share = (taken + STRENGTH) / (total + STRENGTH)
             p = np.maximum(c - DISCOUNT, 0) / (total + STRENGTH)[:, where] + share[:, where] * shared[order][1]
-            self.grams[order] = Table(own, np.log(p[0] / p[1]).astype(np.float32))
-            self.backoff[order] = Table(context + np.uint64(1), np.log(share[0] / share[1]).astype(np.float32))
+            self.grams[order] = own, np.log(p[0] / p[1]).astype(np.float32)
+            self.backoff[order] = context + np.uint64(1), np.log(share[0] / share[1]).astype(np.float32)
+
+    def plain(self) -> tuple[dict, dict]:
+        """What is broadcast: executors unpickle it without this package."""
+        return self.grams, self.backoff
+
+    @staticmethod
+    def of(plain: tuple[dict, dict]) -> Model:
+        model = Model.__new__(Model)
+        model.grams, model.backoff = plain
+        return model
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of each letter, from the longest known sequence that ends with it."""
-        out, known = self.grams[ORDER].get(keys)
+        out, known = _get(self.grams[ORDER], keys)
         left = np.flatnonzero(~known)
         for order in range(ORDER, SHARED - 1, -1):
             if not len(left):
                 break
             # Contexts are kept one higher, as that of a word's first letter is 0.
-            more, known = self.backoff[order].get(((keys[left] & _mask(order)) >> _BYTE) + np.uint64(1))
+            more, known = _get(self.backoff[order], ((keys[left] & _mask(order)) >> _BYTE) + np.uint64(1))
             out[left[known]] = more[known]
             left = left[~known]
         return out
@@ -160,56 +172,130 @@ def _features(words: np.ndarray) -> tuple[float, float, float]:
     return said.mean(), np.log(np.maximum(said - MARGIN, 0).mean() + FLOOR), (sums[size:] - sums[:-size]).max() / WINDOW
 
 
-def _word_ratios(data: bytes, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The ratio of each word, and where it begins."""
-    keys, first, at = _grams(data)
-    if not len(keys):
-        return np.zeros(0), at
-    return np.add.reduceat(model.ratios(keys).astype(np.float64), np.flatnonzero(first)), at[first]
+class Parts:
+    """A model's parts, each a broadcast; a worker loads one at a time and lets it go."""
 
+    def __init__(self, shared: list):
+        self.shared = shared
 
-def _batched_features(texts, model: Model) -> np.ndarray:
-    """A row for each text; short texts are looked up together, long ones in parts."""
-    out, group, size = [], [], 0
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        part = _part(keys, len(self.shared))
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(len(self.shared) + 1))
+        out = np.zeros(len(keys), dtype=np.float32)
+        for i, one in enumerate(self.shared):
+            own = order[ends[i] : ends[i + 1]]
+            if len(own):
+                out[own] = Model.of(one.value).ratios(keys[own])
+                if hasattr(one, "_path"):
+                    one.__dict__.pop("_value", None)  # else the worker would keep it
+        return out
 
-    def flush():
-        base = np.cumsum([0, *(len(x) + 1 for x in group)])
-        ratios, at = _word_ratios(b"\n".join(group), model)
-        bounds = np.searchsorted(at, base)
-        out.extend(_features(ratios[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-        group.clear()
+
+def _vocabulary_ratios(words: list[bytes], model: Parts) -> np.ndarray:
+    """The ratio of each word."""
+    keys, first, block, size = [], [], [], 0
+    for i, word in enumerate(words):
+        block.append(word)
+        size += len(word) + 1
+        if size > 4 * CHUNK or i + 1 == len(words):
+            own = _grams(b"\n".join(block))
+            keys.append(own[0])
+            first.append(own[1])
+            block, size = [], 0
+    if not keys:
+        return np.zeros(0)
+    return np.add.reduceat(model.ratios(np.concatenate(keys)).astype(np.float64), np.flatnonzero(np.concatenate(first)))
+
+
+def _texts(column: pa.Array):
+    """The texts, some at a time, so that what Python makes of a batch stays small."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
+class _Group:
+    """Some texts: the hashes of each one's words, and where each distinct word stands."""
+
+    def __init__(self):
+        self.docs, self.chunks, self.seen, self.size = [], [], [], 0
+
+    def hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        start, end, found, _ = _hashed(data, LETTERS)
+        own, at = np.unique(found, return_index=True)
+        self.chunks.append((data, start[at], end[at]))
+        self.seen.append(own)
+        self.size += len(data)
+        return found, start
+
+    def add(self, texts: list[bytes]) -> None:
+        """Short texts, together."""
+        base = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        found, start = self.hashes(b"\n".join(texts))
+        bounds = np.searchsorted(start, base)
+        self.docs += [found[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def features(self, model: Parts) -> list[tuple[float, float, float]]:
+        every = np.concatenate(self.seen)
+        known, at = np.unique(every, return_index=True)
+        chunk = np.repeat(np.arange(len(self.seen)), [len(x) for x in self.seen])[at].tolist()
+        start, end = (np.concatenate([c[k] for c in self.chunks])[at].tolist() for k in (1, 2))
+        ratios = _vocabulary_ratios([self.chunks[c][0][a:b] for c, a, b in zip(chunk, start, end, strict=True)], model)
+        return [_features(ratios[np.searchsorted(known, own)]) for own in self.docs]
+
+
+def _batched_features(texts, model: Parts) -> np.ndarray:
+    """A row for each text; the words of GROUP bytes of texts are looked up together, long texts in parts of bounded size."""
+    out, short, size, group = [], [], 0, _Group()
+
+    def flush(least: int = 0):
+        nonlocal group, short, size
+        if short:
+            group.add(short)
+        short, size = [], 0
+        if group.docs and group.size >= least:
+            out.extend(group.features(model))
+            group = _Group()
 
     for text in texts:
         data = (text or "").lower().encode("utf-8", "surrogatepass")
         if len(data) > CHUNK:
-            if group:
-                flush()
-            size = 0
-            out.append(_features(np.concatenate([_word_ratios(part, model)[0] for part in _parts(data)])))
+            flush(GROUP)
+            group.docs.append(np.concatenate([group.hashes(part)[0] for part in _parts(data)]))
+            flush(GROUP)
             continue
-        group.append(data)
+        short.append(data)
         size += len(data)
         if size > CHUNK:
-            flush()
-            size = 0
-    if group:
-        flush()
+            flush(GROUP)
+    flush()
     return np.array(out).reshape(-1, 3)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
-    """Weights of the columns of x and a constant, by Newton's method; the ridge counts for columns of deviation 1."""
-    middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    z = np.column_stack([(x - middle) / spread, np.ones(len(x))])
-    w, penalty = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
+def _logistic(found: DataFrame, ridge: float = 2.0) -> np.ndarray:
+    """Weights of the columns a, b, c and a constant, by Newton's method; the ridge counts for columns of deviation 1. Each step sums over the rows in tasks."""
+    row = found.agg(*(f(c) for f in (F.avg, F.stddev_pop) for c in "abc")).first()
+    middle, spread = np.array(row[:3]), np.maximum(np.array(row[3:]), 1e-9)
+    w, penalty = np.zeros(4), np.diag([ridge] * 3 + [1e-6])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-        w += step
+
+        def sums(batches, w=w):
+            for batch in batches:
+                x, y = np.column_stack([batch.column(k).to_numpy() for k in range(3)]), (batch.column(3).to_numpy() > 0).astype(float)
+                z = np.column_stack([(x - middle) / spread, np.ones(len(x))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                own = np.concatenate([((z * (p * (1 - p))[:, None]).T @ z).ravel(), z.T @ (y - p)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(20)), pa.array(own)], names=["k", "v"])
+
+        total = np.zeros(20)
+        for k, v in found.mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v")).collect():
+            total[k] = v
+        step = np.linalg.solve(total[:16].reshape(4, 4) + penalty, total[16:] - penalty @ w)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     own = w[:-1] / spread
-    return np.append(own, w[-1] - own @ middle)
+    return np.round(np.append(own, w[-1] - own @ middle), 8)  # sums come in any order
 
 
 #: The folds that are learned from; what is counted in each.
@@ -218,51 +304,69 @@ COUNTS = [f"{kind}_{f}" for f in FOLDS for kind in ("toxic", "ordinary")]
 
 
 class Counts:
-    """The sequences and their counts by fold and class. A model is built where it is used, and kept for the worker's next task."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts, self.built = keys, counts.astype(np.int32), {}
-
-    def plain(self) -> dict:
-        """What is broadcast: executors unpickle it without this package."""
-        return {"keys": self.keys, "counts": self.counts}
-
-    @staticmethod
-    def of(shared: dict) -> Counts:
-        """The counts of a broadcast value, kept in it with their model for the worker's next task."""
-        if "made" not in shared:
-            shared["made"] = Counts(shared["keys"], shared["counts"])
-        return shared["made"]
-
-    def model(self, without: int | None = None) -> Model | None:
+    """The sequences and their counts by fold and class, as a table; models are made from it part by part."""
+
+    def __init__(self, grams: DataFrame, part: int = PART):
+        self.grams, self.spark = cut(grams), grams.sparkSession
+        self.size, *sums = self.grams.agg(F.count("*"), *(F.sum(c) for c in COUNTS)).first()
+        self.totals = np.array([x or 0 for x in sums], dtype=np.float64)
+        self.parts = max(1, -(-self.size // part))
+        self.variants = [None, *FOLDS]
+        # Continuation counts of three bytes: distinct sequences of SHARED bytes that end so. There are at most 2**24.
+        seen = [F.max((sum((F.col(c) for c in COUNTS if c.rsplit("_", 1)[1] != str(v)), F.lit(0)) > 0).cast("int")).alias(f"v{i}") for i, v in enumerate(self.variants)]
+        longer = self.grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).alias("g")).agg(*seen)
+        low = longer.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (SHARED - 1)) - 1)).alias("g")).agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(len(self.variants)))).toArrow()
+        keys = low.column("g").to_numpy().astype(np.uint64)
+        order = np.argsort(keys)
+        self.low = keys[order], {v: low.column(f"v{i}").to_numpy()[order] for i, v in enumerate(self.variants)}
+
+    def model(self, without: int | None = None) -> Parts | None:
         """The model of all folds but one; None if either class is missing."""
-        if without not in self.built:
-            used = [self.counts[2 * i : 2 * i + 2] for i, f in enumerate(FOLDS) if f != without]
-            c = np.sum(used, axis=0)
-            seen = c.any(axis=0)
-            self.built.clear()  # one at a time: a model is some ten times its counts
-            self.built[without] = Model(self.keys[seen], *c[:, seen]) if c.any(axis=1).all() else None
-        return self.built[without]
+        used = [2 * i for i, f in enumerate(FOLDS) if f != without]
+        totals = np.array([self.totals[used].sum(), self.totals[[k + 1 for k in used]].sum()])
+        if not totals.all():
+            return None
+        n = self.low[1][without]
+        low = _kneser_ney(self.low[0][n > 0], n[n > 0].astype(np.float64), SHARED - 1)[SHARED - 1]
+
+        def build(part: pa.Table) -> pa.Table:
+            trim()
+            keys, c = part.column("gram").to_numpy().view(np.uint64), np.stack([part.column(x).to_numpy() for x in COUNTS])
+            c = np.stack([c[used].sum(axis=0), c[[k + 1 for k in used]].sum(axis=0)])
+            order = np.argsort(keys)
+            order = order[c[:, order].any(axis=0)]
+            made = Model(keys[order], *c[:, order], totals, low).plain()
+            return pa.table({"part": pa.array([part.column("part")[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(made, protocol=5)], pa.binary())})
+
+        dealt = self.grams.withColumn("part", _part_column("gram", self.parts))
+        built = cut(dealt.groupBy("part").applyInArrow(build, "part int, model binary"))
+        empty = {order: (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)) for order in range(SHARED, ORDER + 1)}
+        shared: list = [None] * self.parts
+        for row in built.toLocalIterator():
+            shared[row.part] = self.spark.sparkContext.broadcast(pickle.loads(row.model))
+        return Parts([self.spark.sparkContext.broadcast((empty, empty)) if x is None else x for x in shared])
 
 
 class Scorer:
-    """The counts, with the weights of the features; without a model every text gets the share of toxic labels."""
+    """The model, with the weights of the features; without a model every text gets the share of toxic labels."""
 
-    def __init__(self, counts: Counts, weights: np.ndarray, base: float):
-        self.counts, self.weights, self.base = counts, weights, base
+    def __init__(self, model: Parts | None, weights: np.ndarray, base: float, sequences: int = 0):
+        self.model, self.weights, self.base, self.sequences = model, weights, base, sequences
 
     def score(self, texts) -> np.ndarray:
-        if (model := self.counts.model()) is None:
-            return np.full(len(texts), self.base)
-        return 1 / (1 + np.exp(-np.clip(_batched_features(texts, model) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        if self.model is None:
+            return np.full(sum(1 for _ in texts), self.base)
+        return 1 / (1 + np.exp(-np.clip(_batched_features(texts, self.model) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", part: int = PART, few: int = FEW) -> Scorer:
     """Counts from the three folds; weights from each fold as the model of the other two sees it."""
-    spark = docs.sparkSession
     usable = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).filter((fold(F.col("key")) != 2) & F.col("toxic").isNotNull())
-    chosen = usable.groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(max_rows)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(fold(F.col("key")) != 2).join(F.broadcast(chosen), "key").select("text", "toxic", fold(F.col("key")).cast("int").alias("fold"))
+    chosen = usable.groupBy("key").agg(F.max("toxic").alias("toxic"))
+    if chosen.limit(few + 1).count() <= few:
+        chosen = F.broadcast(chosen)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(fold(F.col("key")) != 2).join(chosen, "key").select("text", "toxic", fold(F.col("key")).cast("int").alias("fold"))
+    rows = cut(rows)
 
     def count(batches):
         for batch in sliced(batches):
@@ -276,53 +380,42 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(n * (kind == c)) for c in COUNTS)], names=["gram", *COUNTS])
 
     grams = rows.mapInArrow(count, "gram long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    grams = grams.withColumn("n", sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))).persist()
-    least, room = 1, max_grams
-    for n, many in sorted(((r[0], r[1]) for r in grams.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()), reverse=True):
-        room -= many
-        if room < 0:
-            least = n + 1
-            break
-    kept = grams.filter(F.col("n") >= least).select("gram", *(F.col(c).cast("int") for c in COUNTS)).toArrow()
-    grams.unpersist()
-    keys = kept.column("gram").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    counts = Counts(keys[order], np.stack([kept.column(c).to_numpy()[order] for c in COUNTS]))
-    del kept, keys, order
-    pa.default_memory_pool().release_unused()
-    shared = spark.sparkContext.broadcast(counts.plain())
-
-    def measure(batches):
-        trim()
-        for batch in batches:
-            folds = batch.column(2).to_numpy(zero_copy_only=False)
-            for f in FOLDS:
-                own = batch.select([0, 1]).filter(pa.array(folds == f))
-                if own.num_rows and (model := Counts.of(shared.value).model(f)) is not None:
-                    for part in sliced([own], 512):
-                        x = _batched_features(part.column(0).to_pylist(), model)
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), part.column(1).cast(pa.int32())], names=["a", "b", "c", "toxic"])
-
-    found = rows.mapInArrow(measure, "a double, b double, c double, toxic int").toArrow()
-    shared.destroy()
-    x, y = np.column_stack([found.column(c).to_numpy() for c in "abc"]), (found.column("toxic").to_numpy() > 0).astype(float)
-    if 0 < y.sum() < len(y):
-        return Scorer(counts, _logistic(x, y), 0.0)
+    counts = Counts(grams, part)
+    found = []
+    for f in FOLDS:
+        if (model := counts.model(f)) is None:
+            continue
+
+        def measure(batches, model=model):
+            trim()
+            for batch in batches:
+                x = _batched_features(_texts(batch.column(0)), model)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column(1).cast(pa.int32())], names=["a", "b", "c", "toxic"])
+
+        found.append(cut(rows.filter(F.col("fold") == f).mapInArrow(measure, "a double, b double, c double, toxic int")))
+        for one in model.shared:
+            one.destroy()
+    if found:
+        found = reduce(DataFrame.unionByName, found)
+        n, y = found.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
+        if 0 < y < n:
+            return Scorer(counts.model(), _logistic(found), 0.0, counts.size)
     share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
-    return Scorer(Counts(counts.keys[:0], counts.counts[:, :0]), np.zeros(4), share)
+    return Scorer(None, np.zeros(4), share)
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxicity") -> DataFrame:
     """Adds the probability that a text is toxic to all columns of docs."""
-    shared, weights, base = docs.sparkSession.sparkContext.broadcast(scorer.counts.plain()), scorer.weights, scorer.base
+    model, weights, base = scorer.model, scorer.weights, scorer.base
     docs = without(docs, name)
     names = docs.columns
     out = docs.withColumn(name, F.lit(0.0))
 
     def run(batches):
-        own = Scorer(Counts.of(shared.value), weights, base)
-        for batch in sliced(batches):
-            found = pa.array(own.score(batch.column(names.index(text)).to_pylist()))
+        own = Scorer(model, weights, base)
+        trim()
+        for batch in batches:
+            found = pa.array(own.score(_texts(batch.column(names.index(text)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), found], names=[*names, name])
 
     return docs.mapInArrow(run, out.schema)

@@ -368,6 +368,21 @@ def test_toxicity(spark):
     assert kept == {k for k, x in got.items() if x < toxicity.THRESHOLD}
 
 
+def test_toxicity_learns_all_sequences(spark):
+    rnd = random.Random(9)
+    data = [(k, " ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(6, 10))) for _ in range(150)) + (" vroggit" if k % 4 == 0 else "")) for k in range(600)]
+    labels = [(k, int(k % 4 == 0)) for k in range(600)]
+    docs, known = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    want = {w[max(0, i - 8) : i] for k, t in data if zlib.crc32(str(k).encode()) % 4 != 2 for w in t.split() for i in range(1, len(w) + 1)}
+    whole = toxicity.learn(docs, known)
+    assert len(want) > 300_000 and whole.sequences == len(want)
+    # Smaller parts and labels that aren't broadcast give the same.
+    dealt = toxicity.learn(docs, known, part=whole.sequences // 7, few=10)
+    assert len(dealt.model.shared) > 6
+    got, again = ({r.doc_id: r.toxicity for r in toxicity.score(docs, x).collect()} for x in (whole, dealt))
+    assert got == pytest.approx(again, abs=1e-4)
+
+
 # ---------------------------------------------------------------- 5: top-k
 
 
