@@ -145,16 +145,17 @@ class Model:
         return model
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
-        """log P(toxic) - log P(ordinary) of each letter, from the longest known sequence that ends with it."""
-        out, known = _get(self.grams[ORDER], keys)
-        left = np.flatnonzero(~known)
+        """log P(toxic) - log P(ordinary) of each letter, from the longest known sequence that ends with it or, if longer, known context of it."""
+        out, left = np.zeros(len(keys), dtype=np.float32), np.arange(len(keys))
         for order in range(ORDER, SHARED - 1, -1):
-            if not len(left):
-                break
-            # Contexts are kept one higher, as that of a word's first letter is 0.
-            more, known = _get(self.backoff[order], ((keys[left] & _mask(order)) >> _BYTE) + np.uint64(1))
-            out[left[known]] = more[known]
-            left = left[~known]
+            for table, back in ((self.grams[order], False), (self.backoff[order], True)):
+                if not len(left):
+                    return out
+                own = keys[left] & _mask(order)
+                # Contexts are kept one higher, as that of a word's first letter is 0.
+                more, known = _get(table, (own >> _BYTE) + np.uint64(1) if back else own)
+                out[left[known]] = more[known]
+                left = left[~known]
         return out
 
 

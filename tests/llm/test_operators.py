@@ -368,6 +368,21 @@ def test_toxicity(spark):
     assert kept == {k for k, x in got.items() if x < toxicity.THRESHOLD}
 
 
+def test_toxic_word_inside_an_unseen_compound():
+    ordinary, toxic = (b"kalo mites vroga karog lotes " * 20, b"kalo vrogg mites vrogg lotes " * 20)
+    each = [dict(zip(*toxicity.np.unique(toxicity._grams(t)[0], return_counts=True), strict=True)) for t in (toxic, ordinary)]
+    keys = toxicity.np.array(sorted({*each[0], *each[1]}), dtype=toxicity.np.uint64)
+    counts = toxicity.np.array([[c.get(k, 0) for k in keys] for c in each], dtype=float)
+    shorter = [keys]
+    for order in range(7, 2, -1):
+        shorter.append(toxicity.np.unique(shorter[-1] & toxicity._mask(order), return_counts=order == 3))
+    low = toxicity._kneser_ney(*shorter[-1], 3)[3]
+    model = toxicity.Model(keys, *counts, counts.sum(axis=1), low)
+    last = lambda word: float(model.ratios(toxicity._grams(word)[0])[-1])
+    assert last(b"vrogg") > 0.5 and last(b"mvrogg") > 0.5 and last(b"xyzmvrogg") > 0.5
+    assert last(b"mvrogz") < 0  # the context is known, the letter isn't
+
+
 def test_toxicity_learns_all_sequences(spark):
     rnd = random.Random(9)
     data = [(k, " ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(6, 10))) for _ in range(150)) + (" vroggit" if k % 4 == 0 else "")) for k in range(600)]
