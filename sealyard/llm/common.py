@@ -7,6 +7,8 @@ import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -218,21 +220,74 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], count:
     return rows.join(few, [*keys]).unionByName(rows.join(F.broadcast(hot.select(*keys)), [*keys], "left_anti").join(cold.drop(count), [*keys]))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task solves; more of them go through rounds of stars, until they are as few or done. And edges that a task reduces at once.
+SMALL = CHUNK_EDGES = 1_000_000
+
+
+def _least_reachable(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest that the edges lead to: the smaller label of an edge's ends goes to both, then labels' labels are taken."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[u], label[v])
+        for end in (u, v):
+            np.minimum.at(label, before[end], low)
+            np.minimum.at(label, end, low)
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+        if np.array_equal(label, before):
+            return label
+
+
+def _stars(tables: list[pa.RecordBatch], centres: bool) -> pa.RecordBatch:
+    """(u, v): the nodes of these edges, each with the smallest that they lead to; that one itself only with `centres`."""
+    both = pa.concat_arrays([t.column(c) for c in range(2) for t in tables]).dictionary_encode()
+    order = pc.array_sort_indices(both.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    own = place[both.indices.to_numpy()]
+    label = _least_reachable(own[: len(own) // 2], own[len(own) // 2 :], len(order))
+    some = np.flatnonzero(centres | (label < np.arange(len(label))))
+    return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(order[some])), both.dictionary.take(pa.array(order[label[some]]))], names=["u", "v"])
+
+
+def _reduced(edges: DataFrame, centres: bool = False) -> DataFrame:
+    """Edges (u, v) that connect what these do: each task's, CHUNK_EDGES at a time, as stars."""
+
+    def run(batches):
+        trim()
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= CHUNK_EDGES and not centres:
+                yield _stars(held, False)
+                held, n = [], 0
+        if held:
+            yield _stars(held, centres)
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(a, b) to (node, component): the smallest node that each can reach; nodes without an edge are left out.
 
-    Alternates two steps until only stars are left: every node's larger neighbours, then its smaller ones, are linked to the
-    smallest that it knows. The number of rounds grows as the logarithm of the longest path.
+    Tasks first reduce their own edges to stars. At most `small` edges are then solved by one task. More of them alternate two steps
+    until they are as few, or stars: every node's larger neighbours, then its smaller ones, are linked to the smallest that it
+    knows. The number of rounds grows as the logarithm of the longest path.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        children, rows = e.agg(F.count_distinct("u"), F.count("*")).first()
-        # In a star forest each child has one parent, and no parent is a child.
-        if children == rows and not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    e = cut(_reduced(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    rows = e.count()
+    while rows > small:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
         large = cut(join_counted(both, least, ["u"], "n", 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = join_counted(large, least, ["u"], "n", 2 * rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        moved = join_counted(large, least, ["u"], "n", 2 * rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        children, rows = e.agg(F.count_distinct("u"), F.count("*")).first()
+        # In a star forest each child has one parent, and no parent is a child.
+        if children == rows and not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return cut(_reduced(e.coalesce(1), centres=True)).select(F.col("u").alias("node"), F.col("v").alias("component"))

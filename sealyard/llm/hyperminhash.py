@@ -6,9 +6,10 @@
 2. The class of smallest id in a band is linked to the others in it, and the components of these links are clusters: two
    sets that share a band are in one cluster. Two sets of similarity 0.85 share none of the 48 bands with a probability of
    1e-10, of similarity 0.8, 5e-7.
-3. Inside a cluster all pairs are compared, BLOCK classes by BLOCK in a task: first their registers, where an estimate
+3. Inside a cluster the pairs that share a band are compared, a block of classes by another in a task: first their registers, where an estimate
    corrected for chance collisions, and more than six deviations below the threshold, ends it; then the full sets. A pair
-   that other links have joined is not compared. Only links that join something leave a task.
+   that other links have joined is not compared. Only links that join something leave a task. A block has BLOCK classes, fewer if their
+   sets are large, and its sets are of like size; blocks of sizes too far apart don't meet.
 4. The components of these links are the result.
 
 Words are runs without white space, ASCII capitals lowered. A set holds the distinct n-word shingles; of fewer words,
@@ -21,15 +22,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _PRIME, NOT_SPACE, components, cut, join_counted, mix, ranked, sliced, windows_hash, words_of
 
 SHINGLE, SIMILARITY = 5, 80
 BUCKETS, ROWS, MANTISSA = 288, 6, 10
-#: Classes of a cluster that are compared with as many others in one task.
-BLOCK = 512
+#: Classes of a cluster that are compared with as many others in one task, if their sets have less than 2 * LARGE shingles; else fewer: the sets of a block take some 64 MB at most, or are one.
+BLOCK, LARGE = 512, 8192
+#: Pairs whose registers are looked at together.
+TOGETHER = 4096
 #: Pairs are left out on the registers alone if their estimate is so many deviations below the threshold.
 DEVIATIONS = 6
 
@@ -88,14 +91,10 @@ def chance(n_a, n_b):
 
 
 def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
-    """Similarity of all pairs of two blocks as their registers show it, and the number of buckets that it rests on."""
-    same, used = np.zeros((len(regs_a), len(regs_b)), np.float32), np.zeros((len(regs_a), len(regs_b)), np.float32)
-    for k in range(BUCKETS):
-        x, y = regs_a[:, k, None], regs_b[None, :, k]
-        some = (x | y) > 0
-        used += some
-        same += some & (x == y)
-    p = chance(n_a[:, None], n_b[None, :])
+    """Similarity of each pair of rows as their registers show it, and the number of buckets that it rests on."""
+    some = (regs_a | regs_b) > 0
+    used, same = some.sum(axis=1), (some & (regs_a == regs_b)).sum(axis=1)
+    p = chance(n_a, n_b)
     return (same / np.maximum(used, 1) - p) / (1 - p), used
 
 
@@ -116,21 +115,6 @@ def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind.simpleString()}, n_shingles long, digest_a long, digest_b long, bands array<long>")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _common(sets_a: list, sets_b: list) -> np.ndarray:
     """Sizes of the intersections of all pairs, by products of 0/1 matrices over some thousand shingles at a time."""
     owner = np.concatenate([np.full(len(s), i) for i, s in enumerate([*sets_a, *sets_b])])
@@ -152,28 +136,36 @@ def _common(sets_a: list, sets_b: list) -> np.ndarray:
 
 def _links(rows_a: list, rows_b: list, percent: int):
     """Links between two blocks of (id, set), or inside one if both are the same; only those that join."""
-    inside = rows_a is rows_b
+    inside, t = rows_a is rows_b, percent / 100
     sets_a, sets_b = ([r[1] for r in rows] for rows in (rows_a, rows_b))
     regs_a, regs_b = (np.array([registers(x) for x in sets]) for sets in (sets_a, sets_b))
     n_a, n_b = (np.array([len(x) for x in sets], dtype=np.float64) for sets in (sets_a, sets_b))
-    found, used = estimate(regs_a, regs_b, n_a, n_b)
-    t = percent / 100
-    maybe = (found >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(used, 1))) & (100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :]))
-    if inside:
-        maybe &= np.arange(len(rows_a))[:, None] < np.arange(len(rows_b))[None, :]
-    i, j = np.nonzero(maybe)
-    order = np.argsort(-found[i, j], kind="stable")
-    shift, forest = (0 if inside else len(rows_a)), _Forest(len(rows_a) + len(rows_b))
-    both = None
-    for count, k in enumerate(order.tolist()):
-        x, y = int(i[k]), int(j[k])
-        if forest.root(x) == forest.root(y + shift):
-            continue
-        if both is None and count > 8 * (len(rows_a) + len(rows_b)):
-            both = _common(sets_a, sets_b)
-        common = both[x, y] if both is not None else len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True))
-        if 100 * common >= percent * (len(sets_a[x]) + len(sets_b[y]) - common) and forest.join(x, y + shift):
-            yield rows_a[x][0], rows_b[y][0]
+    bands_a, bands_b = (np.array([bands(x) for x in regs]) for regs in (regs_a, regs_b))
+    shared = np.zeros((len(rows_a), len(rows_b)), dtype=np.uint8)
+    for x, y in zip(bands_a.T, bands_b.T, strict=True):
+        shared += x[:, None] == y[None, :]
+    shared[100 * np.minimum(n_a[:, None], n_b[None, :]) < percent * np.maximum(n_a[:, None], n_b[None, :])] = 0
+    i, j = np.nonzero(np.triu(shared, 1) if inside else shared)
+    # The likeliest links first: most other pairs are joined by them.
+    order = np.argsort(-shared[i, j].astype(np.int16), kind="stable")
+    i, j, shift = i[order], j[order], 0 if inside else len(rows_a)
+    joined, both, compared = np.arange(len(rows_a) + (0 if inside else len(rows_b))), None, 0
+    for at in range(0, len(i), TOGETHER):
+        x, y = i[at : at + TOGETHER], j[at : at + TOGETHER]
+        apart = joined[x] != joined[y + shift]
+        x, y = x[apart], y[apart]
+        found, used = estimate(regs_a[x], regs_b[y], n_a[x], n_b[y])
+        maybe = found >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+        for a, b in zip(x[maybe].tolist(), y[maybe].tolist(), strict=True):
+            if joined[a] == joined[b + shift]:
+                continue
+            compared += 1
+            if both is None and compared > 8 * (len(rows_a) + len(rows_b)):
+                both = _common(sets_a, sets_b)
+            common = both[a, b] if both is not None else len(np.intersect1d(sets_a[a], sets_b[b], assume_unique=True))
+            if 100 * common >= percent * (len(sets_a[a]) + len(sets_b[b]) - common):
+                joined[joined == joined[b + shift]] = joined[a]
+                yield rows_a[a][0], rows_b[b][0]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -190,12 +182,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     stars = join_counted(banded, shared, ["band"], "n", total).filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     members = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
-    placed = ranked(members, ["cluster"], F.pmod(F.xxhash64("rep"), F.lit(64)), [F.col("rep")], "place").withColumn("block", F.floor(F.col("place") / BLOCK))
-    blocks = placed.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"), F.count("*").alias("n"))
-    placed, blocks = cut(placed.select("rep", "cluster", "block")), cut(blocks)
+    # Blocks hold sets of one size, by powers of two from LARGE up; those of a cluster are numbered through, size after size.
+    members = cut(members.join(classes.select("rep", F.floor(F.log2(F.greatest("n_shingles", F.lit(LARGE)) / LARGE)).cast("int").alias("kind")), "rep"))
+    fits = F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.pow(F.lit(2), F.col("kind"))).cast("long"))
+    placed = ranked(members, ["cluster", "kind"], F.pmod(F.xxhash64("rep"), F.lit(64)), [F.col("rep")], "place").withColumn("block", F.floor(F.col("place") / fits))
+    sizes = Window.partitionBy("cluster").orderBy("kind")
+    near = sizes.rangeBetween(-1, 1) if percent > 50 else sizes.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = members.groupBy("cluster", "kind").agg(F.count("*").alias("n")).withColumn("own", F.ceil(F.col("n") / fits))
+    blocks = blocks.withColumn("first", F.sum("own").over(sizes) - F.col("own"))
+    blocks = cut(blocks.select("cluster", "kind", "n", "first", F.min("first").over(near).alias("from"), F.max(F.col("first") + F.col("own")).over(near).alias("to")))
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    dealt = join_counted(placed, blocks, ["cluster"], "n", total)
-    dealt = dealt.select("rep", "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = join_counted(placed.select("rep", "cluster", "kind", "block"), blocks, ["cluster", "kind"], "n", total)
+    dealt = dealt.select("rep", "cluster", (F.col("first") + F.col("block")).alias("block"), F.explode(F.sequence("from", F.col("to") - 1)).alias("other"))
     dealt = dealt.select("rep", "block", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     sets = _full_sets(docs, members.select("rep"), key, text, n)

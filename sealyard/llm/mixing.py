@@ -1,13 +1,12 @@
 """Mixing sources to target weights: each document floor(rate) times, and once more with the fraction's probability.
 
 Targets: sources share the whole corpus by weight; no target passes `most` times its source's size, and what that
-leaves is shared again by weight. The extra copy of a document is a Bernoulli draw with probability frac(rate); its
-uniform number is seeded by a hash of the source and runs through the source's documents in steps of frac(rate),
-ordered by size and then by a hash of the id. Documents of like size are thus drawn evenly, and a source's words stay
-close to its target even where a few documents are very long; each document alone still has that probability.
+leaves is shared again by weight. The extra copy of a document is a Bernoulli draw of its own: a number in (0, 1), hashed from its
+source and id, is below frac(rate). No other document changes it, and a source's words miss their target by chance only: by
+about the root of the sum of frac (1 - frac) size**2, which is small unless a few documents hold most of a source's words.
 
 Null sources are one source, last in order. Null and empty texts have size 0 and are repeated as any other document.
-Repeated rows are each drawn. An empty table gives an empty table.
+Rows that repeat a source and id share their draw. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import md5_unit, private, ranked
+from .common import cut, join_counted, md5_unit, private
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Sources whose rates are broadcast; rates of more are joined, the largest sources apart.
+FEW = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,7 +29,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(source, source_size) to (source, source_size, target, rate).
+    """(source, source_size) to (source, source_size, target, rate), and `rows` if there.
 
     In the order of most * size / weight, the first k sources stop at their bound, k being the least number for
     which the rest, shared by weight, leaves the next one within its bound. One row for each source: a small table.
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
         .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
         .withColumn("target", F.least("bound", F.col("level") * F.col("weight")))
         .withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0))
-        .select("source", "source_size", "target", "rate")
+        .select("source", "source_size", "target", "rate", *[c for c in sizes.columns if c == "rows"])
     )
 
 
@@ -55,33 +56,23 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str
     """Adds size, source_size, target and copies, each with the prefix, to all columns of docs; columns so named are replaced."""
     p = prefix
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith(p)])
-    own = docs.withColumns(
-        {
-            f"{p}size": word_count(F.col(text)),
-            f"{p}source": F.coalesce(F.col(source).cast("string"), F.lit("")),
-            f"{p}null": F.col(source).isNull(),
-            f"{p}key": F.coalesce(F.col(key).cast("string"), F.lit("null")),
-        }
-    )
-    sized = own.withColumn(f"{p}u", md5_unit(F.lit("copy"), F.col(f"{p}key")))
-    sizes = sized.groupBy(f"{p}source", f"{p}null").agg(F.sum(f"{p}size").alias("source_size"))
-    plan = targets(sizes.select(F.when(~F.col(f"{p}null"), F.col(f"{p}source")).alias("source"), "source_size"), weights, most)
-    plan = plan.select(
-        F.coalesce("source", F.lit("")).alias(f"{p}source"),
-        F.col("source").isNull().alias(f"{p}null"),
+    own = [f"{p}source", f"{p}null"]
+    sized = docs.withColumns({f"{p}size": word_count(F.col(text)), own[0]: F.coalesce(F.col(source).cast("string"), F.lit("")), own[1]: F.col(source).isNull()})
+    sizes = sized.groupBy(*own).agg(F.sum(f"{p}size").alias("source_size"), F.count("*").alias("rows"))
+    sizes = cut(sizes.select(F.when(~F.col(own[1]), F.col(own[0])).alias("source"), "source_size", "rows"))
+    plan = targets(sizes, weights, most).select(
+        F.coalesce("source", F.lit("")).alias(own[0]),
+        F.col("source").isNull().alias(own[1]),
         F.col("source_size").alias(f"{p}source_size"),
         F.col("target").alias(f"{p}target"),
         F.col("rate").alias(f"{p}rate"),
-        md5_unit(F.lit("start"), F.coalesce("source", F.lit(""))).alias(f"{p}start"),
+        F.col("rows").alias(f"{p}rows"),
     )
-    # Size classes of a sixteenth of a power of two, each in 16 parts by hash, are sorted apart from each other.
-    u, size = F.col(f"{p}u"), F.col(f"{p}size")
-    size_class = F.floor(F.log2(size + 1) * 16) * 16 + F.floor(u * 16)
-    drawn = ranked(sized, [f"{p}source", f"{p}null"], size_class, [u, F.col(f"{p}key"), size], f"{p}rank", plan)
-    rate, r, start = F.col(f"{p}rate"), F.col(f"{p}rank"), F.col(f"{p}start")
-    part = rate - F.floor(rate)
-    taken = F.floor(rate) + F.floor(part * (r + 1) + start) - F.floor(part * r + start)
-    return drawn.withColumn(f"{p}copies", taken.cast("int")).drop(*[f"{p}{c}" for c in ("source", "null", "key", "u", "rank", "rate", "start")])
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    drawn = sized.join(F.broadcast(plan.drop(f"{p}rows")), own) if n <= FEW else join_counted(sized, cut(plan), own, f"{p}rows", total)
+    rate = F.col(f"{p}rate")
+    extra = md5_unit(F.lit("copy"), F.col(own[0]), F.coalesce(F.col(key).cast("string"), F.lit("null"))) < rate - F.floor(rate)
+    return drawn.withColumn(f"{p}copies", (F.floor(rate) + extra.cast("int")).cast("int")).drop(*own, f"{p}rate")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

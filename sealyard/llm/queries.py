@@ -191,17 +191,15 @@ sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a, b FROM sym UNION SELECT r.a, l.b FROM reach r JOIN sym l ON l.a = r.b),
 least_ AS (SELECT a AS doc_id, least(a, min(b)) AS m FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)""",
-    "op8_mixing": f"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, {_UNIT.format("'copy:' || doc_id")} AS u FROM documents),
+    "op8_mixing": """
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, (('0x' || substr(md5('copy:' || coalesce(source, '') || ':' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM documents),
 sizes AS (SELECT source, sum(size)::DOUBLE AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source),
 ratios AS (SELECT *, 3.0 * source_size AS bound, 3.0 * source_size / weight AS ratio FROM sizes),
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(bound) OVER e, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER e, 0)) AS level FROM ratios WINDOW e AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 chosen AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE level <= ratio),
 plan AS (SELECT source, source_size, least(bound, chosen.level * weight) AS target FROM levels, chosen),
-drawn AS (SELECT s.*, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN least(3.0, p.target / p.source_size) ELSE 0.0 END AS rate,
-  row_number() OVER (PARTITION BY s.source ORDER BY floor(log2(size + 1) * 16) * 16 + floor(u * 16), u, doc_id::VARCHAR, size) AS r, {_UNIT.format("'start:' || coalesce(s.source, '')")} AS start
-  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
-counted AS (SELECT *, (floor(rate) + floor((rate - floor(rate)) * r + start) - floor((rate - floor(rate)) * (r - 1) + start))::INT AS copies FROM drawn)
+rated AS (SELECT s.*, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN least(3.0, p.target / p.source_size) ELSE 0.0 END AS rate FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+counted AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM rated)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, size * copies AS taken, copies FROM counted""",
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

@@ -1,19 +1,22 @@
 """Exact top-k by inner product without random access: sorted lists are read from their ends, and bounds say when to stop.
 
 Candidates and queries are dealt to blocks by a hash of their id, so that every pair of blocks is one group of bounded size, whatever the
-number of vectors. In a block each component has a list of its candidates' values in order. A query reads a list from
-the end that its own component's sign prefers. After a number of sequential reads of all lists, a candidate's score is at most what
-was read of it, plus in each list not yet read for it the value reached there; it is at least the same with the list's worst
-value. A query stops when no candidate outside those that could hold its k-th place can still reach it: the k-th greatest lower bound
-is above their upper bounds. Only for those left are the scores resolved, in integers. A block's queries advance together,
-STEPS says how far, so the bounds of all of them come from one product each. The blocks' k best are merged by rank.
-
-Vectors that are null, of another length than the first found, or hold null or non-finite components take no part. Ties go to the
-smaller id; repeated rows each count. Fewer candidates than k give all. An empty table gives an empty table.
+number of vectors. In a block each component has a list of its candidates, ordered by value. A query reads every list sequentially, entry
+after entry, from the end that its own component's sign prefers, and adds up for each candidate what was read of it. At each of some
+depths a candidate's score is at least what was read of it plus the least that its unread lists can give, and at most the same with the values
+that the reading has reached. A query stops when the k-th greatest lower bound is above the upper bounds of all but a few; only
+their scores are then resolved, in exact integers. The blocks' k best are merged by rank.
+
+Components are floor(scale * x), x as double, of any finite size: the bounds are floating point and widened by what rounding can do, and scores
+are summed in 64 bits, or in Python's integers where those could overflow. A score beyond a long counts as it is and is returned as the nearest long.
+Vectors that are null or hold null or non-finite components take no part. A vector that is shorter than the longest counts as if zeros followed. Ties
+go to the smaller id; repeated rows each count, as candidates and as queries. Fewer candidates than k give all. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,80 +26,129 @@ from .common import cut
 
 #: Rows in a block of candidates and of queries.
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Shares of the lists that have been read when the bounds are looked at.
-STEPS = (0.4, 0.6, 0.8)
+#: Shares of the lists that have been read when the bounds are looked at; and the share of a block's candidates that may be left to resolve.
+DEPTHS, LEFT = (1 / 16, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1), 1 / 16
+_LONG = np.iinfo(np.int64)
 
 
-def integer_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of each component as 32-bit integers in bytes; rows that take no part are left out."""
+def finite_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v) of the rows that take part."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    own = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad))
-    return own.select("id", F.transform("x", lambda x: F.floor(x * scale).cast("int")).alias("v"))
-
-
-def _lists(v: np.ndarray) -> np.ndarray:
-    """Each component's values in ascending order: the block's sorted lists."""
-    return np.sort(v, axis=0)
-
-
-def nra(queries: np.ndarray, query_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int):
-    """(query's place, candidate's place, score) of each query's k best in a block, and the share of pairs that were resolved."""
-    lists, n = _lists(v).astype(np.float32), len(v)
-    plus, minus = np.maximum(queries, 0).astype(np.float32), np.maximum(-queries, 0).astype(np.float32)
-    worst_plus, worst_minus = lists[0], -lists[-1]
-    values = v.astype(np.float32)
-    open_, resolved, out = np.arange(len(queries)), 0, []
-    possible = {}
-    own = query_ids[:, None] == ids[None, :]
-    for share in (*STEPS, 1.0):
-        if not len(open_):
-            break
-        depth = min(n, max(1, int(np.ceil(share * n))))
-        # What a list has given: values down to the one at this depth; below it stands that value, or the list's worst.
-        reach_plus, reach_minus = lists[n - depth], -lists[depth - 1]
-        seen_plus, seen_minus = values >= reach_plus, -values >= reach_minus
-        p, m = plus[open_], minus[open_]
-        upper = p @ np.where(seen_plus, values, reach_plus).T + m @ np.where(seen_minus, -values, reach_minus).T
-        lower = p @ np.where(seen_plus, values, worst_plus).T + m @ np.where(seen_minus, -values, worst_minus).T
-        lower[own[open_]] = -np.inf
-        upper[own[open_]] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-        inside = (upper >= kth[:, None]) & np.isfinite(upper)
-        few = (inside.sum(axis=1) <= max(4 * k, n // 64)) | (share == 1.0)
-        for row in np.flatnonzero(few):
-            possible[int(open_[row])] = np.flatnonzero(inside[row])
-        open_ = open_[~few]
-    for q, places in possible.items():
-        score = v[places] @ queries[q]
-        resolved += len(places)
-        best = np.lexsort((ids[places], -score))[:k]
-        out += [(q, int(places[b]), int(score[b])) for b in best]
-    return out, resolved / max(1, len(queries) * n)
+    return df.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad))
+
+
+def integers(rows: list, width: int, scale: int) -> tuple[np.ndarray, list | None]:
+    """floor(scale * x) of each component as a double, with zeros up to width; and exactly, where the scaled value is no finite double."""
+    x = np.zeros((len(rows), width))
+    for i, row in enumerate(rows):
+        x[i, : len(row)] = row
+    with np.errstate(over="ignore"):
+        v = np.floor(x * scale)
+    if np.isfinite(v).all():
+        return v, None
+    return v, [[math.floor(scale * y) if abs(y) < 2.0**52 else scale * int(y) for y in row] for row in x.tolist()]
+
+
+class Lists:
+    """A block's sorted lists: for each component the candidates by falling and by rising value, their values, and each one's place."""
+
+    def __init__(self, v: np.ndarray):
+        up = np.argsort(v, axis=0, kind="stable").T
+        values = np.take_along_axis(v.T, up, axis=1)
+        # The second half is read by queries with a negative component: signs are turned, so that both read falling values.
+        self.order = np.concatenate([up[:, ::-1], up])
+        self.values = np.concatenate([values[:, ::-1], -values])
+        place = np.empty_like(up)
+        np.put_along_axis(place, up, np.arange(len(v))[None, :], axis=1)
+        self.place = np.concatenate([len(v) - 1 - place, place]).astype(np.int32)
+        self.size = v.shape[0]
+
+
+def nra(query: np.ndarray, own: np.ndarray, lists: Lists, k: int, start: int = 0) -> tuple[np.ndarray, int]:
+    """Places of the candidates that can be among the k best, those in `own` apart, and how deep the lists were read. The first look is at `start` or deeper."""
+    n, d = lists.size, len(query)
+    used = np.flatnonzero(query)
+    rows = np.where(query[used] > 0, used, used + d)
+    weight = np.abs(query[used])
+    values, order, place = lists.values, lists.order, lists.place[rows]
+    with np.errstate(over="ignore", invalid="ignore"):
+        least, first = weight * values[rows, -1], weight * values[rows, 0]
+        slack = 4 * (d + 2) * 2.0**-52 * np.maximum(np.abs(least), np.abs(first)).sum()
+        if not np.isfinite(slack):
+            return np.setdiff1d(np.arange(n), own), n
+        lower, done = np.full(n, least.sum()), 0
+        lower[own] = -np.inf
+        for depth in [x for x in sorted({min(n, max(k, math.ceil(share * n))) for share in DEPTHS}) if x >= start or x == n]:
+            news = weight[:, None] * values[rows, done:depth] - least[:, None]
+            lower += np.bincount(order[rows, done:depth].ravel(), weights=news.ravel(), minlength=n)
+            reach = weight * values[rows, depth - 1] - least  # what an unread entry can give beyond the least
+            upper = lower + reach @ (place >= depth) if depth < n else lower
+            kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+            inside = (upper + slack >= kth - slack) & (lower > -np.inf)
+            if depth == n or inside.sum() <= max(4 * k, n * LEFT):
+                return np.flatnonzero(inside), depth
+            done = depth
+    raise AssertionError("the last depth is all")
+
+
+def _scores(query: int, places: np.ndarray, asked, v: np.ndarray, wide: tuple[list, list] | None):
+    """Exact scores of a query and the candidates in these places."""
+    if wide is None and np.abs(v[places]).max(initial=0) * np.abs(asked[query]).sum() < 2.0**62:
+        return v[places].astype(np.int64) @ asked[query].astype(np.int64)
+    a = wide[0][query] if wide else [int(x) for x in asked[query].tolist()]
+    b = [wide[1][i] for i in places.tolist()] if wide else [[int(x) for x in v[i].tolist()] for i in places.tolist()]
+    return np.array([sum(x * y for x, y in zip(a, row, strict=True)) for row in b], dtype=object)
+
+
+def best(queries: list, query_ids: np.ndarray, candidates: list, ids: np.ndarray, k: int, scale: int):
+    """(query's place, candidate's place, score) of each query's k best in a block, and the share of the lists that was read."""
+    width = max(map(len, [*queries, *candidates]))
+    (asked, wide_a), (v, wide_v) = (integers(x, width, scale) for x in (queries, candidates))
+    wide = None if wide_a is None and wide_v is None else tuple(w or [[int(x) for x in row] for row in m.tolist()] for w, m in ((wide_a, asked), (wide_v, v)))
+    lists, out, read, depth = Lists(v), [], 0, 0
+    where: dict = {}
+    for i, x in enumerate(ids.tolist()):
+        where.setdefault(x, []).append(i)
+    for q, own in enumerate(query_ids.tolist()):
+        # Queries of a block end at like depths: looks well before the last one's end would be in vain.
+        places, depth = nra(asked[q], np.array(where.get(own, []), dtype=np.int64), lists, k, depth * 3 // 4)
+        read += depth
+        score = _scores(q, places, asked, v, wide)
+        order = sorted(range(len(places)), key=lambda i: (-score[i], ids[places[i]]))[:k] if score.dtype == object else np.lexsort((ids[places], -score))[:k]
+        out += [(q, int(places[i]), int(score[i])) for i in order]
+    return out, read / max(1, len(queries) * len(ids))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", scale: int = 64, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, id, score): for each row of queries the k rows of vectors, but for its own id, of greatest score."""
-    base, asked = cut(integer_vectors(vectors, key, vector, scale)), cut(integer_vectors(queries, key, vector, scale))
-    size = base.select(F.size("v").alias("n")).first()
-    length = size.n if size else 0
-    base, asked = (x.filter(F.size("v") == length) for x in (base, asked))
+    base, asked = cut(finite_vectors(vectors, key, vector)), cut(finite_vectors(queries, key, vector))
     blocks, query_blocks = (max(1, -(-x.count() // n)) for x, n in ((base, block), (asked, query_block)))
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.select("id", "v", deal("candidate", blocks).alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("asked"))
-    right = asked.select("id", "v", every(blocks).alias("block"), deal("query", query_blocks).alias("query_block"), F.lit(True).alias("asked"))
+    left = base.select("id", "v", deal("candidate", blocks).alias("block"), every(query_blocks).alias("query_block"), F.lit(-1).cast("long").alias("row"))
+    asked = asked.withColumn("row", F.monotonically_increasing_id())  # of written rows, so the numbers stay
+    right = asked.select("id", "v", every(blocks).alias("block"), deal("query", query_blocks).alias("query_block"), "row")
     kind = base.schema["id"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(group["v"].tolist(), dtype=np.int64).reshape(len(group), -1)
-        ids, is_query = group["id"].to_numpy(), group["asked"].to_numpy(dtype=bool)
+        ids, row, v = group["id"].to_numpy(), group["row"].to_numpy(), group["v"]
+        is_query = row >= 0
         if is_query.all() or not is_query.any():
-            return pd.DataFrame({"query_id": ids[:0], "id": ids[:0], "score": np.zeros(0, dtype=np.int64)})
+            return pd.DataFrame({"row": row[:0], "query_id": ids[:0], "id": ids[:0], "score": pd.Series(dtype=object), "high": pd.Series(dtype=object)})
         q_ids, c_ids = ids[is_query], ids[~is_query]
-        found, _ = nra(v[is_query], q_ids, v[~is_query], c_ids, k)
-        a, b, s = (np.array([f[i] for f in found], dtype=np.int64) for i in range(3))
-        return pd.DataFrame({"query_id": q_ids[a], "id": c_ids[b], "score": s})
+        found, _ = best(v[is_query].tolist(), q_ids, v[~is_query].tolist(), c_ids, k, scale)
+        a, b = (np.array([f[i] for f in found], dtype=np.int64) for i in range(2))
+        # Scores beyond a long are merged by their text: sign and length, then digits.
+        return pd.DataFrame({"row": row[is_query][a], "query_id": q_ids[a], "id": c_ids[b], "score": [min(max(s, _LONG.min), _LONG.max) for *_, s in found], "high": [_sortable(s) for *_, s in found]})
 
-    near = left.unionByName(right).groupBy("block", "query_block").applyInPandas(run, f"query_id {kind}, id {kind}, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    near = left.unionByName(right).groupBy("block", "query_block").applyInPandas(run, f"row long, query_id {kind}, id {kind}, score long, high string")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.desc_nulls_last("high"), "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _sortable(score: int) -> str | None:
+    """For scores that no long holds, a text that sorts as they do; null for others."""
+    if _LONG.min <= score <= _LONG.max:
+        return None
+    digits = str(abs(score)).zfill(700)
+    return f"1{digits}" if score > 0 else f"0{digits.translate(str.maketrans('0123456789', '9876543210'))}"
