@@ -58,6 +58,7 @@ def sliced(batches, rows: int = 1024):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()  # a worker that waits for its next task keeps nothing
 
 
 def fold(doc_id: Column) -> Column:
@@ -270,14 +271,15 @@ def _reduced(edges: DataFrame, centres: bool = False) -> DataFrame:
     return edges.mapInArrow(run, edges.schema)
 
 
-def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL, reduce_: bool = True) -> DataFrame:
     """(a, b) to (node, component): the smallest node that each can reach; nodes without an edge are left out.
 
-    Tasks first reduce their own edges to stars. At most `small` edges are then solved by one task. More of them alternate two steps
+    Tasks first reduce their own edges to stars, unless told that there is nothing to gain. At most `small` edges are then solved by one task. More of them alternate two steps
     until they are as few, or stars: every node's larger neighbours, then its smaller ones, are linked to the smallest that it
     knows. The number of rounds grows as the logarithm of the longest path.
     """
-    e = cut(_reduced(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = cut(_reduced(e) if reduce_ else e)
     rows = e.count()
     while rows > small:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

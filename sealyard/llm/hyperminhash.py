@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _PRIME, NOT_SPACE, components, cut, join_counted, mix, ranked, sliced, windows_hash, words_of
+from .common import _PRIME, NOT_SPACE, components, cut, join_counted, mix, ranked, sliced, trim, windows_hash, words_of
 
 SHINGLE, SIMILARITY = 5, 80
 BUCKETS, ROWS, MANTISSA = 288, 6, 10
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     sets = _full_sets(docs, members.select("rep"), key, text, n)
     full = dealt.join(sets, "rep")
     edges = _compare(full, docs.schema[key].dataType.simpleString(), percent)
-    final = components(edges).select(F.col("node").alias("rep"), "component")
+    final = components(edges, reduce_=False).select(F.col("node").alias("rep"), "component")
 
     named = classes.join(final, "rep", "left").select(*digest, "rows", F.coalesce("component", "rep").alias("component"))
     total = named.agg(F.sum("rows")).first()[0] or 0
@@ -247,6 +247,8 @@ def _compare(full: DataFrame, kind: str, percent: int) -> DataFrame:
                     now, blocks = (cluster, low, high), {}
                 blocks.setdefault(block, []).append((row[0], np.frombuffer(row[1], dtype=np.uint64)))
         yield from done()
+        blocks = {}
+        trim()
 
     order = ["cluster", "low", "high"]
     return full.repartition(*order).sortWithinPartitions(*order, "block", "rep").mapInArrow(run, f"a {kind}, b {kind}")

@@ -30,7 +30,7 @@ from .common import LETTERS, CHUNK, LOWER, _hashed, cut, fold, private, sliced,
 
 ORDER, SHARED, WINDOW, DISCOUNT, STRENGTH, MARGIN, FLOOR, ECHO = 8, 4, 16, 0.75, 8, 1.0, 0.002, 4
 #: Sequences in a part of the model; bytes of text whose words are looked up together; labels that are broadcast, more are joined by a shuffle.
-PART, GROUP, FEW = 250_000, 1 << 23, 1_000_000
+PART, GROUP, FEW = 250_000, 1 << 22, 1_000_000
 THRESHOLD = 0.3
 _BYTE = np.uint64(8)
 
@@ -337,6 +337,7 @@ class Counts:
             order = np.argsort(keys)
             order = order[c[:, order].any(axis=0)]
             made = Model(keys[order], *c[:, order], totals, low).plain()
+            trim()
             return pa.table({"part": pa.array([part.column("part")[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(made, protocol=5)], pa.binary())})
 
         dealt = self.grams.withColumn("part", _part_column("gram", self.parts))
@@ -392,6 +393,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for batch in batches:
                 x = _batched_features(_texts(batch.column(0)), model)
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column(1).cast(pa.int32())], names=["a", "b", "c", "toxic"])
+            trim()
 
         found.append(cut(rows.filter(F.col("fold") == f).mapInArrow(measure, "a double, b double, c double, toxic int")))
         for one in model.shared:
@@ -418,6 +420,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxi
         for batch in batches:
             found = pa.array(own.score(_texts(batch.column(names.index(text)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), found], names=[*names, name])
+        trim()
 
     return docs.mapInArrow(run, out.schema)
 
