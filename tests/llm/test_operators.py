@@ -251,21 +251,85 @@ def test_windows(spark, docs, rows):
 # ---------------------------------------------------------------- 6: repeated passages
 
 
-@pytest.mark.parametrize("bucket", [suffixes.BUCKET, 500])
-def test_repeats(spark, docs, rows, monkeypatch, bucket):
-    monkeypatch.setattr(suffixes, "BUCKET", bucket)
-    seen, want = set(), {}
-    for d, t, *_ in rows:
+def repeats(rows):
+    """n_bytes, n_removed, n_spans and kept_sha256 of each row, by a dictionary of all strings of 50 bytes."""
+    seen, want = {}, {}
+    for d, t, *_ in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
         own, mask = [b[i : i + 50] for i in range(len(b) - 49)], bytearray(len(b))
         for i, w in enumerate(own):
-            if w in seen:
+            if seen.setdefault(w, d) != d:
                 mask[i : i + 50] = b"\1" * 50
-        seen.update(own)
         runs = sum(1 for i in range(len(mask)) if mask[i] and (i == 0 or not mask[i - 1]))
         want[d] = len(b), sum(mask), runs, hashlib.sha256(bytes(x for x, m in zip(b, mask, strict=True) if not m)).hexdigest()
-    got = {r.doc_id: tuple(r)[1:5] for r in suffixes.remove_repeats(docs).collect()}
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("bucket,at_once,hot", [(suffixes.BUCKET, suffixes.AT_ONCE, suffixes.HOT_BUCKET), (500, 40, 2)])
+def test_repeats(spark, docs, rows, monkeypatch, bucket, at_once, hot):
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    got = {r.doc_id: tuple(r)[1:5] for r in suffixes.remove_repeats(docs, at_once=at_once, hot_bucket=hot).collect()}
+    assert got == repeats(rows)
+
+
+@pytest.mark.parametrize("seed,hot", [(1, suffixes.HOT_BUCKET), (2, 5), (3, 20)])
+def test_repeats_of_one_line_in_differing_surroundings(spark, seed, hot):
+    """Frequent lines, periodic texts, zero bytes, and repeats that end a byte from each other."""
+    rnd = random.Random(seed)
+    line = "Licensed under terms that nobody has ever read to the end; see the file for what they say."
+    alphabet = rnd.choice(["ab", "abcdefgh \n", "\0a\u00e9z"])
+    texts = []
+    for _ in range(70):
+        noise = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
+        cut = line[rnd.randrange(3) : len(line) - rnd.randrange(3)]
+        texts.append(noise(rnd.randrange(60)) + rnd.choice([cut, "", "ab" * rnd.randrange(80), "x" * rnd.randrange(200)]) + noise(rnd.randrange(60)) + rnd.choice([line, ""]))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: tuple(r)[1:5] for r in suffixes.remove_repeats(df, hot_bucket=hot).collect()} == repeats(rows)
+
+
+def test_ranks_are_those_of_a_plain_suffix_order():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    bucket = np.array(sorted(rnd.randrange(4) for _ in range(300)))
+    context = np.array([[rnd.randrange(2) for _ in range(30)] for _ in bucket], dtype=np.uint8)
+    context[5:60] = context[4]
+    place, same = suffixes._ranked(bucket, context)
+    want = sorted(range(300), key=lambda i: (bucket[i], bytes(context[i])))
+    assert np.argsort(place).tolist() == want
+    shared = lambda a, b: next((k for k in range(30) if context[a][k] != context[b][k]), 30) if bucket[a] == bucket[b] else -1
+    assert same.tolist() == [-1] + [shared(a, b) for a, b in zip(want, want[1:], strict=False)]
+
+    # All suffixes of a text's runs: by shift, first bytes read backwards, anchor's rank; equal strings stand together, and only they.
+    texts = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(50, 400))) for _ in range(12)] + ["ab" * 90, "a" * 120]
+    data = [t.encode() for t in texts]
+    every = np.arange(1 << 16, dtype=np.uint32)
+    runs = suffixes._Runs(data, [(i, 0) for i in range(len(data))], [(suffixes._samples(d)[1] >> np.uint64(32)).astype(np.uint32) for d in data], 32)
+    assert len(every) and {(d, a + k) for d, a, n in zip(runs.doc, runs.at, runs.size, strict=True) for k in range(n - 49)} == {(i, p) for i, d in enumerate(data) for p in range(len(d) - 49)}
+    order = np.lexsort((runs.doc, runs.code))
+    code, head, size, at, doc = (getattr(runs, c)[order] for c in ("code", "head", "size", "at", "doc"))
+    buf, offsets = suffixes._bytes(pa.concat_arrays([runs.piece.take(pa.array(order))]))
+    seen = []
+    for t, own, new in suffixes.suffix_classes(np.cumsum(np.concatenate([[0], code[1:] != code[:-1]])), buf, offsets[:-1], head, size):
+        strings = [data[doc[r]][at[r] + head[r] - t :][:50] for r in own]
+        keys = [(code[r], s[:t][::-1], s[t:]) for r, s in zip(own, strings, strict=True)]
+        assert keys == sorted(keys) and new[1:].tolist() == [a != b for a, b in zip(strings, strings[1:], strict=False)]
+        seen += [s for s, fresh in zip(strings, new, strict=True) if fresh]
+    assert len(seen) == len(set(seen)) == len({d[p : p + 50] for d in data for p in range(len(d) - 49)})
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    data = "".join(rnd.choice("abc") for _ in range(3000)).encode()
+    codes = [[(suffixes._samples(data)[1] >> suffixes.np.uint64(32)).astype(suffixes.np.uint32).tobytes()]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([8]), pa.array([data]), pa.array(codes, pa.list_(pa.binary()))], names=["key", "digest", "data", "codes"])
+    strings = lambda part: sorted((code, at + k, piece[k : k + 50]) for b in suffixes._emit(32, 100)([batch]) for code, ats, piece in zip(b["code"].to_pylist(), b["ats"].to_pylist(), b["piece"].to_pylist(), strict=True) for at in ats for k in range(len(piece) - 49)) if monkeypatch.setattr(suffixes, "PART", part) is None else None
+    whole = strings(1 << 20)
+    assert len(whole) == len(data) - 49 and strings(512) == whole
 
 
 def test_cover_reaches_every_shift():
