@@ -4,12 +4,14 @@ A line's quote level is the number of '>' before its text. A message's own text
 announces a quote ("... wrote:"). Neighbouring lines of one level are a passage. Passages and own texts are normalised
 (small letters, runs of white space as one space) and hashed: an own text as a whole, by paragraph, and by line. A passage of
 level 1 is what the parent said itself, so it is joined with own texts: whole or by paragraph, and, for excerpts, by its lines.
-First the earlier messages of the same conversation are asked, then the earliest message anywhere. The parent is the message that
+First the earlier messages of the same conversation are asked, then the earliest message of another one. The parent is the message that
 most quoted characters come from (then the later one of the same conversation, then the first anywhere). Deeper levels are what the parent
 quotes; they are joined in the same way and reported, but they don't decide. A message that quotes nothing known
-replies to the one before it in its conversation.
+replies to the one before it in its conversation. Pieces below LEAST characters are known inside a conversation only, and only as a whole
+text or paragraph.
 
-Each hash has one source for each conversation, and one anywhere, so a passage that many repeat is joined with one row only.
+Each hash has one source for each conversation, and two anywhere, of two conversations, so a passage that many repeat is joined with one row
+only, and one of the two is always another conversation's. A passage that many quote is a hot key: `join_counted` broadcasts those.
 Threads are followed to their root by pointer doubling; a link never leads to a message at the same or a later
 (conversation, turn) unless it is another conversation's, and links that would close a circle are cut at their smallest message.
 
@@ -20,13 +22,14 @@ table gives an empty table. Columns whose names begin with q_ are replaced; all
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, join_counted, ranked, sliced
 
 _LEVEL = re.compile(r"[ \t]?(?:>[ \t]?)+")
 _ANNOUNCED = re.compile(r"(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|écrit|escribió)\b.{0,40}:$|.{0,80}\b(?:wrote|schrieb|a écrit|escribió):$", re.I)
@@ -59,56 +62,79 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def pieces(text: str) -> list[str]:
-    """What a text can be known by: the whole, its paragraphs and its lines, normalised, each once."""
-    found = dict.fromkeys(_plain(x) for x in [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")])
-    return [x for x in found if len(x) >= LEAST]
+    """What a text can be known by: the whole, its paragraphs and, if long enough, its lines, normalised, each once."""
+    found = dict.fromkeys(_plain(x) for x in [text, *re.split(r"\n[ \t]*\n", text)])
+    found |= dict.fromkeys(x for x in map(_plain, text.split("\n")) if len(x) >= LEAST)
+    return [x for x in found if x]
 
 
-def _parsed(messages: DataFrame, text: str) -> DataFrame:
-    """Adds q_text (own text), q_own (normalised pieces) and q_quoted: for each passage its level, length and pieces."""
-    messages = messages.drop(*[c for c in messages.columns if c.lower().startswith("q_")])
+def _hashed(text: str) -> list[dict]:
+    """The size and 128 bits of the SHA-256 of each piece."""
+    return [{"size": len(x), "hash": hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()[:16]} for x in pieces(text)]
+
+
+_PIECES = "array<struct<size:int,hash:binary>>"
+
+
+def _parsed(messages: DataFrame, text: str, whole: bool) -> DataFrame:
+    """With `whole`, all columns, q_text (own text) and q_quotes (number of passages); else q_at, q_own (hashed pieces) and q_quoted: for each passage its level and pieces."""
     names = messages.columns
-    out = messages.selectExpr("*", "'' AS q_text", "cast(array() AS array<string>) AS q_own", "cast(array() AS array<struct<level:int,pieces:array<string>>>) AS q_quoted")
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("pieces", pa.list_(pa.string()))]))
+    left = names if whole else ["q_at"]
+    made = ["'' AS q_text", "0 AS q_quotes"] if whole else [f"cast(array() AS {_PIECES}) AS q_own", f"cast(array() AS array<struct<level:int,pieces:{_PIECES}>>) AS q_quoted"]
+    out = messages.selectExpr(*[f"`{c}`" for c in left], *made)
+    titles = out.columns
+    piece = pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.binary())]))
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("pieces", piece)]))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [parse(t) for t in batch.column(names.index(text)).to_pylist()]
-            own = pa.array([pieces(t) for t, _ in found], pa.list_(pa.string()))
-            quoted = pa.array([[{"level": level, "pieces": pieces(p)} for level, p in q] for _, q in found], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([t for t, _ in found], pa.string()), own, quoted], names=[*names, "q_text", "q_own", "q_quoted"])
+            if whole:
+                own = pa.array([t for t, _ in found], pa.string()), pa.array([len(q) for _, q in found], pa.int32())
+            else:
+                own = pa.array([_hashed(t) for t, _ in found], piece), pa.array([[{"level": level, "pieces": _hashed(p)} for level, p in q] for _, q in found], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in left), *own], names=titles)
 
     return messages.mapInArrow(run, out.schema)
 
 
-def _hash(piece):
-    """128 bits of the piece's SHA-256."""
-    return F.substring(F.sha2(piece.cast("binary"), 256), 1, 32)
+def _counted(asked: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """asked joined with keyed, which has each key once; keys that many ask for are no single task's."""
+    counts = asked.groupBy(*keys).agg(F.count("*").alias("q_n"))
+    keyed = cut(keyed.join(counts, keys))
+    return join_counted(asked, keyed, keys, "q_n", keyed.agg(F.sum("q_n")).first()[0] or 0)
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """All columns of messages, and q_text, q_quotes, q_linked (quoted passages, and those with a source), q_parent (conv, turn; null for a root)."""
-    base = _parsed(messages, text).withColumn("q_at", F.struct(F.col(conv).alias("conv"), F.col(turn).alias("turn")))
-    sources = base.select("q_at", F.explode("q_own").alias("piece")).select("q_at", _hash(F.col("piece")).alias("hash"))
-    within = sources.groupBy("hash", F.col("q_at.conv").alias("conv")).agg(F.min("q_at").alias("first"))
-    anywhere = sources.groupBy("hash").agg(F.min("q_at").alias("first"))
-    quotes = base.filter(F.size("q_quoted") > 0).select("q_at", F.posexplode("q_quoted").alias("place", "quote"))
-    asked = quotes.select("q_at", F.col("q_at.conv").alias("conv"), "place", F.col("quote.level").alias("level"), F.explode("quote.pieces").alias("piece")).select("q_at", "conv", "place", "level", F.length("piece").alias("size"), _hash(F.col("piece")).alias("hash"))
-    found = (
-        asked.join(within.withColumnRenamed("first", "near"), ["hash", "conv"], "left")
-        .join(anywhere.withColumnRenamed("first", "far"), "hash", "left")
-        .withColumn("source", F.when(F.col("near") < F.col("q_at"), F.col("near")).when(~F.col("far.conv").eqNullSafe(F.col("conv")), F.col("far")))
-        .filter("source IS NOT NULL")
-    )
+    messages = messages.drop(*[c for c in messages.columns if c.lower().startswith("q_")])
+    base = messages.withColumn("q_at", F.struct(F.col(conv).alias("conv"), F.col(turn).alias("turn")))
+    told = cut(_parsed(base.select("q_at", F.col(text).alias("q_said")), "q_said", False))
+    # A conversation without an id is one, so its key is text that no id casts to.
+    named = F.coalesce(F.col("q_at.conv").cast("string"), F.lit("\0")).alias("conv")
+    own = told.select("q_at", named, F.explode("q_own").alias("p")).select("q_at", "conv", "p.*")
+    within = cut(own.groupBy("hash", "conv").agg(F.min("q_at").alias("first"), F.max("size").alias("size")))
+    early = F.row_number().over(Window.partitionBy("hash").orderBy("first"))
+    anywhere = within.filter(F.col("size") >= LEAST).withColumn("place", early).filter("place <= 2").groupBy("hash").agg(F.min("first").alias("far"), F.max("first").alias("next"))
+    quotes = told.filter(F.size("q_quoted") > 0).select("q_at", named, F.posexplode("q_quoted").alias("place", "quote"))
+    asked = cut(quotes.select("q_at", "conv", "place", F.col("quote.level").alias("level"), F.explode("quote.pieces").alias("p")).select("q_at", "conv", "place", "level", "p.*"))
+    near = _counted(asked, within.drop("size"), ["hash", "conv"]).filter(F.col("first") < F.col("q_at"))
+    far = _counted(asked.filter(F.col("size") >= LEAST), anywhere, ["hash"])
+    far = far.withColumn("first", F.when(F.col("far.conv").eqNullSafe(F.col("q_at.conv")), F.when(F.col("next") != F.col("far"), F.col("next"))).otherwise(F.col("far")))
+    both = near.select("q_at", "place", "level", "hash", "size", F.struct(F.lit(0).alias("tier"), "first").alias("source"))
+    both = both.unionByName(far.filter("first IS NOT NULL").select("q_at", "place", "level", "hash", "size", F.struct(F.lit(1).alias("tier"), "first").alias("source")))
+    found = cut(both.groupBy("q_at", "place", "level", "hash").agg(F.max("size").alias("size"), F.min("source").alias("source")).withColumn("source", F.col("source.first")))
     linked = found.groupBy("q_at").agg(F.countDistinct("place").alias("q_linked"))
     votes = found.filter("level = 1").groupBy("q_at", "source").agg(F.sum("size").alias("size"))
     same = F.col("source.conv").eqNullSafe(F.col("q_at.conv"))
-    best = votes.withColumn("vote", F.struct("size", same.alias("same"), F.when(same, F.col("source.turn")).alias("turn"))).groupBy("q_at").agg(F.max_by("source", F.struct("vote", "source")).alias("q_quoted_at"))
-    places = _placed(base.select("q_at").distinct())
+    # Larger is better: most characters, the same conversation, there the later turn, elsewhere the earlier message.
+    best = votes.withColumn("vote", F.struct("size", same.alias("same"), F.when(same, F.col("source.turn")).alias("turn"))).withColumn("top", F.max("vote").over(Window.partitionBy("q_at")))
+    best = best.filter(F.col("vote").eqNullSafe(F.col("top"))).groupBy("q_at").agg(F.min("source").alias("q_quoted_at"))
+    places = _placed(told.select("q_at").distinct())
     parents = places.join(linked, "q_at", "left").join(best, "q_at", "left").withColumn("q_parent", F.coalesce("q_quoted_at", "q_before"))
     parents = _segments(parents.select("q_at", F.coalesce("q_linked", F.lit(0)).alias("q_linked"), "q_parent", "q_before", *CONV, "q_pos"))
     on = F.col("b.q_at").eqNullSafe(F.col("p.q_at"))
-    return base.alias("b").join(parents.alias("p"), on, "left").select("b.*", F.size("b.q_quoted").alias("q_quotes"), "p.q_linked", "p.q_parent", "p.q_head", "p.q_off").drop("q_own", "q_quoted")
+    return _parsed(base, text, True).alias("b").join(parents.alias("p"), on, "left").select("b.*", "p.q_linked", "p.q_parent", "p.q_head", "p.q_off")
 
 
 #: A conversation as two columns without nulls; its messages are numbered and scanned so many at a time, so that a long one is no single task's.

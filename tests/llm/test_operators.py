@@ -571,6 +571,57 @@ def test_quotations(spark):
     assert sorted(r.q_position for k, r in got.items() if at(r.q_root) == (1, 0)) == list(range(7))
 
 
+def plain_links(rows):
+    """(conv, turn) to (linked passages, parent), by asking every message for every quoted piece."""
+    parsed = {r[:2]: quotes.parse(r[2]) for r in rows}
+    order = lambda m: (m[0] is not None, m[0] or 0, m[1])
+    before, last = {}, {}
+    for m in sorted(parsed, key=order):
+        before[m] = last.get(m[0])
+        last[m[0]] = m
+    known = {m: set(quotes.pieces(own)) for m, (own, _) in parsed.items()}
+    found = {}
+    for m, (_, quoted) in parsed.items():
+        votes, linked = Counter(), set()
+        for place, (level, passage) in enumerate(quoted):
+            for piece in quotes.pieces(passage):
+                near = [x for x in known if piece in known[x] and x[0] == m[0]]
+                far = [x for x in known if piece in known[x] and x[0] != m[0] and len(piece) >= quotes.LEAST]
+                near = [x for x in [min(near, key=order, default=m)] if order(x) < order(m)]
+                if near or far:
+                    source = near[0] if near else min(far, key=order)
+                    linked.add(place)
+                    if level == 1:
+                        votes[source] += len(piece)
+        best = max(votes, key=lambda x: (votes[x], x[0] == m[0], x[1] if x[0] == m[0] else 0, tuple(-y for y in order(x))), default=before[m])
+        found[m] = len(linked), best
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_match_a_plain_search(spark, seed):
+    rnd = random.Random(seed)
+    said = ["Why not?", "ok", "the first long sentence of them all", "Another long sentence, said often", "this is said only now and then", "nothing like it was said before"]
+    rows = []
+    for conv in (None, 1, 2, 3, 7):
+        for turn in range(rnd.randint(2, 9)):
+            lines = [rnd.choice(["", "", "> ", ">> ", "> > "]) + rnd.choice(said).replace("long", rnd.choice(["long", "LONG", "long "])) for _ in range(rnd.randint(0, 5))]
+            rows.append((conv, turn, rnd.choice(["\n", "\n\n", "\n"]).join(lines)))
+    rows += [(9, 0, "> a sentence of message two\nasks"), (8, 1, "x"), (8, 2, "a sentence of message two"), (9, 5, "a sentence of message two")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    at = lambda s: None if s is None else (s.conv, s.turn)
+    got = {(r.conv_id, r.turn): (r.q_linked, at(r.q_parent)) for r in quotes.link(df).collect()}
+    assert got == plain_links(rows) and got[9, 0] == (1, (8, 2))
+
+
+def test_a_source_outside_the_own_conversation_is_found(spark):
+    """The earliest message that says it is in the asker's conversation, but later; and short answers inside a conversation."""
+    rows = [(1, 0, "hello"), (1, 1, "> to be or not to be\nyes"), (1, 2, "to be or not to be"), (2, 0, "to be or not to be"), (3, 0, "Why?"), (3, 1, "Because."), (3, 2, "> Why?\nI asked"), (4, 0, "> Why?\nhere too")]
+    got = {(r.conv_id, r.turn): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got[1, 1].q_linked == 1 and tuple(got[1, 1].q_parent) == (2, 0)
+    assert tuple(got[3, 2].q_parent) == (3, 0) and got[4, 0].q_parent is None and got[4, 0].q_linked == 0
+
+
 def test_quote_levels():
     own, found = quotes.parse("a\n> b\n> c\n>> d\n>e\n\n\n\nf > g")
     assert own == "a\n\nf > g" and found == [(1, "b\nc"), (2, "d"), (1, "e")]
