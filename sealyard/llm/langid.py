@@ -28,8 +28,8 @@ _BY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 
 
 def _letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; each run of other characters is one space, also before and after."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Code points of a part of a lower-cased text; each run of other characters is one space."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     plain = ((chars >= 97) & (chars <= 122)) | (chars >= 0xAA) & (chars != 0xB7) & (chars != 0xD7) & (chars != 0xF7)
     far = np.flatnonzero(chars > 0xFF)
     if len(far):
@@ -41,20 +41,29 @@ def _letters(text: str) -> np.ndarray:
     own = np.where(plain, chars, np.uint32(32))
     keep = np.ones(len(own), dtype=bool)
     keep[1:] = plain[1:] | plain[:-1]
-    return np.concatenate([[32], own[keep], [32]]).astype(np.uint64)
+    return own[keep].astype(np.uint64)
 
 
 def counts(text: str | None) -> np.ndarray | None:
-    """How often each counter's n-grams occur; None without a letter."""
-    total, some = np.zeros(DIMENSIONS), False
-    for at in range(0, len(text or ""), PART):
-        c = _letters(text[at : at + PART])
-        some |= bool((c != 32).any())
-        h = c * _BY[0]
+    """How often each counter's n-grams occur, with a space before and after the text; None without a letter.
+
+    A long text is read in parts; the two characters before a part go with it, so that no n-gram is lost or added at its edge.
+    """
+    total, some, before, text = np.zeros(DIMENSIONS), False, np.zeros(0, dtype=np.uint64), f" {(text or '').lower()} "
+    for at in range(0, len(text), PART):
+        own = _letters(text[at : at + PART])
+        some |= bool((own != 32).any())
+        if len(before) and before[-1] == own[0] == 32:
+            own = own[1:]
+        c = np.concatenate([before, own])
+        h, new = c * _BY[0], len(before)
         for n in range(1, 4):
-            total += np.bincount(((h ^ (h >> np.uint64(29))) * _BY[1] >> _BITS).astype(np.int64), minlength=DIMENSIONS)
+            # h[i] is of the n characters from i; those that end in this part are counted.
+            fresh = h[max(0, new - n + 1) :]
+            total += np.bincount(((fresh ^ (fresh >> np.uint64(29))) * _BY[1] >> _BITS).astype(np.int64), minlength=DIMENSIONS)
             if n < 3:
                 h = h[:-1] * _BY[2] + c[n:] * _BY[0]
+        before = c[-2:]
     return total if some else None
 
 

@@ -415,6 +415,79 @@ def test_languages(spark):
     assert [got[k].lang_pred for k in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"] and all(0 <= r.lang_score <= 1 for r in got.values())
 
 
+def plain_counts(text):
+    """n-grams one by one, hashed as the operator says."""
+    if not any(c.isalpha() for c in text.lower()):
+        return None
+    run = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    found, m = [0] * langid.DIMENSIONS, 2**64
+    a, b, c = (int(x) for x in langid._BY)
+    for n in (1, 2, 3):
+        for i in range(len(run) - n + 1):
+            h = 0
+            for k, ch in enumerate(run[i : i + n]):
+                h = (h * c + ord(ch) * a) % m if k else ord(ch) * a % m
+            found[((h ^ (h >> 29)) * b % m) >> 51] += 1
+    return found
+
+
+@pytest.mark.parametrize("part", [langid.PART, 7, 2, 1])
+def test_counts_and_predictions_match_plain_loops(monkeypatch, part):
+    monkeypatch.setattr(langid, "PART", part)
+    rnd = random.Random(part)
+    texts = ["Hello, World 12!", "x", "a-b", "éÈ ñ  ß", "日本語 です", "12 ?!", "", "tail  "] + ["".join(rnd.choice("ab é.Z1") for _ in range(rnd.randrange(60))) for _ in range(60)]
+    for t in texts:
+        got = langid.counts(t)
+        assert (None if got is None else got.tolist()) == plain_counts(t), t
+    vectors = [c for t in texts if (c := plain_counts(t)) is not None]
+    idf = [math.log((len(vectors) + 1) / (1 + sum(v[k] > 0 for v in vectors))) + 0.1 for k in range(langid.DIMENSIONS)]
+
+    def unit(found):
+        v = [math.log1p(x) * w for x, w in zip(found, idf, strict=True)]
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / size for x in v]
+
+    import numpy as np
+
+    centres = [unit(v) for v in vectors[:6]]
+    known = langid.Languages(np.array(idf), list("aabbcc"), np.array(centres, dtype=np.float32), 0.4)
+    for t in texts[6:]:
+        name, score, rejected = known.predict(t)
+        own = plain_counts(t)
+        if own is None:
+            assert (name, score) == ("und", 0.0)
+            continue
+        u = unit(own)
+        cosines = [sum(x * y for x, y in zip(u, c, strict=True)) for c in centres]
+        assert score == pytest.approx(max(cosines), abs=1e-5) and cosines["aabbcc".index(name)] >= max(cosines) - 1 and rejected == (score < 0.4)
+        assert max(c for c, n in zip(cosines, "aabbcc", strict=True) if n == name) == pytest.approx(max(cosines), abs=1e-5)
+
+
+def test_kneser_ney_matches_its_formula():
+    """Interpolated Kneser-Ney with one discount, from dictionaries of counts."""
+    import numpy as np
+
+    text = b"kalo mites kalo vroga karog lotes kamikaze " * 3 + b"abcdefghijkl"
+    keys, n = np.unique(toxicity._grams(text)[0], return_counts=True)
+    full = {int(k): int(c) for k, c in zip(keys, n, strict=True)}
+    counts = {toxicity.ORDER: full}
+    for order in range(toxicity.ORDER - 1, 0, -1):
+        counts[order] = Counter(k % 256**order for k in counts[order + 1])
+
+    def p(k, order):
+        if order == 0:
+            return 1 / 256
+        k %= 256**order
+        same = [c for g, c in counts[order].items() if g >> 8 == k >> 8]
+        return (max(counts[order][k] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * p(k, order - 1)) / sum(same)
+
+    got = toxicity._kneser_ney(keys, n.astype(float))
+    for order, (own, value) in got.items():
+        assert value == pytest.approx([p(int(k), order) for k in own]) and set(map(int, own)) == set(counts[order])
+    for context in {k >> 8 for k in counts[2]}:  # each context's letters, and what is left for new ones
+        assert sum(p(k, 2) for k in counts[2] if k >> 8 == context) <= 1
+
+
 def test_letters_outside_latin_and_long_texts():
     assert langid.counts("日本語") is not None and langid.counts("١٢٣ 😀 ---") is None and langid.counts("x" * (langid.PART + 5)) is not None
 
