@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import Invalid, NotFound
 from .ledger import Ledger
-from .operators import indexes, validation
+from .operators import indexes, ingest, validation
 from .operators.validation import Field, Index, Schema
 from .sources.store import Store
 
@@ -46,6 +46,7 @@ class Collections:
         own = self.get(name).meta
         base = self.store.manifest()
         self.store.commit(base, collections=[c for c in base["collections"] if c["id"] != own["id"]])
+        Store(self.spark, f"{self.path}/collections/{own['id']}").remove()
 
     def update(self, own: dict) -> None:
         base = self.store.manifest()
@@ -96,10 +97,11 @@ class Collection:
                 raise Invalid(", ".join(bad.violations))
             for index in schema.indexes:
                 if index.unique:
-                    both = self.ledger.records().select("key", "value").unionByName(batch.select("key", "value"))
-                    first = both.groupBy("key").agg(F.first("value").alias("value"))
-                    rows = indexes.build(indexes.from_json(first, index.fields), index.fields, sparse=index.sparse)
-                    if indexes.unique_violations(rows, index.fields).first() is not None:
+                    # Only what the append will add counts; the ledger's values are read once and meet the batch's fields, which are broadcast if few.
+                    known = self.ledger.records()
+                    new = ingest.accepted(batch.select("key", "value", by), known, [F.col(by), F.col("key"), F.col("value")])
+                    own, old = (indexes.build(indexes.from_json(x, index.fields), index.fields, sparse=index.sparse) for x in (new, known))
+                    if indexes.unique_violations(own, index.fields).first() is not None or indexes.taken(own, old, index.fields).first() is not None:
                         raise Invalid(f"index {index.name} is unique")
         return self.ledger.append(batch, by)
 

@@ -45,6 +45,30 @@ def merkle_root(hashes) -> Column:
     return F.coalesce(F.get(top, F.lit(0)), F.lit(ZERO32))
 
 
+def merkle_levels(hashes) -> Column:
+    """The tree's levels, leaves first."""
+    h = _col(hashes)
+    start = F.struct(h.alias("h"), F.array(h).alias("all"))
+
+    def step(s: Column, _: Column) -> Column:
+        above = _level(s["h"])
+        return F.struct(above.alias("h"), F.concat(s["all"], F.array(above)).alias("all"))
+
+    return F.aggregate(_levels(h), start, step, lambda s: s["all"])
+
+
+def proof_from_levels(levels, at) -> Column:
+    """As `merkle_proof`, from a tree whose levels are known: for many leaves of one block they are hashed once."""
+
+    def sibling(k: Column) -> Column:
+        place = F.floor(_col(at) / F.pow(F.lit(2), k)).cast("int")
+        left = place % 2 == 1
+        return F.struct(F.get(F.get(_col(levels), k), F.when(left, place - 1).otherwise(place + 1)).alias("sibling"), left.alias("is_left"))
+
+    below = F.when(F.size(_col(levels)) > 1, F.sequence(F.lit(0), F.size(_col(levels)) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(below, sibling), lambda p: p["sibling"].isNotNull())
+
+
 def merkle_proof(hashes, at) -> Column:
     """Siblings from the leaf at a place (from 0) upwards, each with whether it stands left; an odd last node gives none."""
     h, place = _col(hashes), _col(at).cast("int")

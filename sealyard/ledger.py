@@ -53,17 +53,21 @@ class Ledger:
 
     # ------------------------------------------------------------ writes
 
-    def append(self, batch: DataFrame, by: str = "timestamp", ties: Sequence[Column] | None = None) -> int:
+    def append(self, batch: DataFrame, by: str = "timestamp", ties: Sequence[Column] | None = None, whole: bool = False) -> int:
         """Adds the first row of each new key of (key, value, timestamp, ...), in the order of (by, ties); how many. The others are left out:
-        `with_status` tells which."""
+        `with_status` tells which. With `whole` all rows are new keys or nothing is written: what is tested is what the commit follows."""
         base = self.store.manifest()
         ties = [F.col("key"), F.col("value")] if ties is None else list(ties)
         new = ingest.accepted(batch, self.store.read(base["segments"], RECORD) if base["segments"] else None, [F.col(by), *ties])
         new = new.persist()
         try:
             segment = self.store.write(ingest.records(new, by, ties, base["sequence"] + 1), "segments")
+            left_out = whole and batch.count() != (segment["rows"] if segment else 0)
         finally:
             new.unpersist()
+        if left_out:
+            self.store.delete([segment] if segment else [])
+            raise DuplicateKey("a key of the batch is there, or twice in it")
         if segment is None:
             return 0
         self.store.commit(base, segments=[*base["segments"], segment], sequence=base["sequence"] + segment["rows"], records=base["records"] + segment["rows"])

@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sealyard-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sealyard-"))
     return df.checkpoint(eager=True)

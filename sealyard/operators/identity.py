@@ -34,6 +34,42 @@ def allows(permissions: Column, wanted: Column) -> Column:
     return F.exists(permissions, lambda p: (p == wanted) | F.coalesce(F.array_contains(F.try_element_at(table, p), wanted), F.lit(False)))
 
 
+# What new users are often given.
+PRESETS = {
+    "admin": ["Admin"],
+    "read_only": ["Read", "ViewStats", "ViewHealth"],
+    "read_write": ["Read", "Write", "BeginTransaction", "CommitTransaction", "RollbackTransaction", "ViewStats", "ViewHealth"],
+}
+
+
+def is_admin_only(permission: Column) -> Column:
+    """Whether a permission is for administrators."""
+    return permission.isin(ADMIN_ONLY)
+
+
+def holds(permissions: Column, wanted: Column) -> Column:
+    """Exact membership, without what permissions imply."""
+    return F.coalesce(F.array_contains(permissions, wanted), F.lit(False))
+
+
+def merged(one: Column, other: Column) -> Column:
+    """The union of two permission sets, sorted."""
+    return F.array_sort(F.array_union(one, other))
+
+
+def with_permission(permissions: Column, added: Column) -> Column:
+    return merged(permissions, F.array(added))
+
+
+def without_permission(permissions: Column, removed: Column) -> Column:
+    return F.array_sort(F.array_except(permissions, F.array(removed)))
+
+
+def operations_of(operations: DataFrame, user: str) -> DataFrame:
+    """A user's signed operations, by nonce."""
+    return operations.filter(F.col("user_id") == user).orderBy("nonce")
+
+
 def effective(events: DataFrame, as_of: int | None = None) -> DataFrame:
     """(user_id, permission) in force: the last event of each is a grant."""
     rows = events if as_of is None else events.filter(F.col("ts") <= as_of)

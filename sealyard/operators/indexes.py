@@ -27,6 +27,15 @@ def unique_violations(index: DataFrame, fields: Sequence[str]) -> DataFrame:
     return index.groupBy(*fields).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def taken(new: DataFrame, index: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Rows of an index whose field values new rows have too; a null field counts as a value."""
+    wanted = new.select(*[F.col(f).alias(f"__{f}") for f in fields]).distinct()
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
+    return index.join(wanted, same, "left_semi")
+
+
 def from_json(docs: DataFrame, fields: Sequence[str], value: str = "value") -> DataFrame:
     """Adds the fields of a JSON value as text columns."""
     return docs.withColumns({f: F.get_json_object(F.col(value).cast("string"), f"$.{f}") for f in fields})

@@ -14,18 +14,20 @@ from .ordering import numbered
 def with_status(batch: DataFrame, ledger: DataFrame | None, arrival: Sequence[Column]) -> DataFrame:
     """Adds status to each row of a batch: accepted, duplicate_in_batch, or duplicate_key if the ledger has it.
 
-    arrival must order all rows of a key. A hot key's rows are reduced before the shuffle only where a row number isn't asked
-    for, so `accepted` is the cheaper way if the rejected rows don't matter.
+    arrival must order all rows of a key; of rows that tie on it any one is the first. Keys and arrival are not null.
     """
-    first = F.row_number().over(Window.partitionBy("key").orderBy(*arrival)) == 1
-    rows = batch.withColumn("__first", first)
-    if ledger is None:
-        known = F.lit(False)
+    # The winner of each key is found by partial aggregation, so a hot key's rows are sorted nowhere.
+    won = batch.groupBy("key").agg(F.min(F.struct(*arrival)).alias("__won"))
+    if ledger is not None:
+        won = won.join(ledger.select("key", F.lit(True).alias("__known")), "key", "left")
     else:
-        rows = rows.join(ledger.select("key", F.lit(True).alias("__known")), "key", "left")
-        known = F.coalesce("__known", F.lit(False))
-    status = F.when(known, "duplicate_key").when(F.col("__first"), "accepted").otherwise("duplicate_in_batch")
-    return rows.withColumn("status", status).drop("__first", "__known")
+        won = won.withColumn("__known", F.lit(False))
+    rows = batch.join(won, "key").withColumn("__first", F.struct(*arrival) == F.col("__won"))
+    # Rows that tie for the first place are numbered; the others aren't sorted.
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*arrival))
+    rows = rows.filter("__first").withColumn("__first", place == 1).unionByName(rows.filter("NOT __first"))
+    status = F.when(F.coalesce("__known", F.lit(False)), "duplicate_key").when(F.col("__first"), "accepted").otherwise("duplicate_in_batch")
+    return rows.withColumn("status", status).drop("__won", "__known", "__first")
 
 
 def accepted(batch: DataFrame, ledger: DataFrame | None, arrival: Sequence[Column]) -> DataFrame:
@@ -39,10 +41,3 @@ def records(rows: DataFrame, by: str, ties: Sequence[Column] = (), start: int =
     """(key, value, timestamp) and an order to records with sequence numbers and hashes."""
     with_seq = numbered(rows, by, ties, "sequence_number", start)
     return with_seq.select("key", "value", "timestamp", "sequence_number", record_hash("key", "value", "timestamp", "sequence_number").alias("hash"))
-
-
-def refuse_delete(*_args, **_kw):
-    """Records are never deleted."""
-    from ..errors import AppendOnly
-
-    raise AppendOnly("records can't be deleted: the ledger is append-only")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,22 +31,101 @@ def waits_for(waiting: DataFrame, held: DataFrame) -> DataFrame:
     return waiting.select("key", "tx_id").join(held.select("key", F.col("tx_id").alias("blocker")), "key").filter("tx_id <> blocker").select("tx_id", "blocker").distinct()
 
 
-def deadlocked(edges: DataFrame, checkpoint=None, rounds: int = 64) -> DataFrame:
-    """Transactions on a circle of waits, and what only leads from one circle to another.
+def released(held: DataFrame, releases: DataFrame) -> DataFrame:
+    """The locks that are still held after (key, tx_id) pairs are released; a release without a key frees all of its transaction's."""
+    whole = releases.filter("key IS NULL").select("tx_id").distinct()
+    return held.join(releases.filter("key IS NOT NULL").select("key", "tx_id").distinct(), ["key", "tx_id"], "left_anti").join(whole, "tx_id", "left_anti").select(*held.columns)
 
-    Those that wait for none, or that none waits for, are taken away until nothing changes; what is left is circles and paths between
-    them. Then reach is doubled among the few left, to tell the two apart. checkpoint(df) writes a table in between.
+
+#: Edges whose circles one task finds; more are first reduced or labelled by rounds of joins.
+SMALL = 1_000_000
+
+
+def _circles(edges: list[tuple]) -> list:
+    """Nodes on a circle: those in a strongly connected part of two or more, by one depth-first search without recursion."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    order: dict = {}
+    low: dict = {}
+    stack, inside, found = [], set(), []
+    for root in after:
+        if root in order:
+            continue
+        path = [(root, iter(after[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        inside.add(root)
+        while path:
+            node, rest = path[-1]
+            for other in rest:
+                if other not in order:
+                    order[other] = low[other] = len(order)
+                    stack.append(other)
+                    inside.add(other)
+                    path.append((other, iter(after[other])))
+                    break
+                if other in inside:
+                    low[node] = min(low[node], order[other])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == order[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(stack.pop())
+                    inside.difference_update(part)
+                    if len(part) > 1:
+                        found += part
+    return found
+
+
+def deadlocked(edges: DataFrame, checkpoint=None, small: int = SMALL) -> DataFrame:
+    """Transactions on a circle of waits. checkpoint(df) writes a table in between.
+
+    At most `small` edges are searched by one task. More of them lose, round by round, those that wait for none or that none waits for. If too many are left,
+    every node takes the smallest id that leads to it along edges; what leads back to that id among nodes of its label is its circle. Both are labels, one
+    a node, passed along edges until nothing changes; the circles found go, and the rest is searched again.
     """
     keep = checkpoint or (lambda df: df.checkpoint(eager=True))
-    left, n = keep(edges.select("tx_id", "blocker").distinct()), -1
-    while (now := left.count()) != n:
-        n = now
-        left = keep(left.join(left.select(F.col("tx_id").alias("blocker")).distinct(), "blocker", "left_semi").join(left.select(F.col("blocker").alias("tx_id")).distinct(), "tx_id", "left_semi").select("tx_id", "blocker"))
-    reach, n = left, -1
-    for _ in range(rounds):
-        if (now := reach.count()) == n:
-            break
-        n = now
-        far = reach.select(F.col("tx_id").alias("blocker"), F.col("blocker").alias("beyond"))
-        reach = keep(reach.unionByName(reach.join(far, "blocker").select("tx_id", F.col("beyond").alias("blocker"))).distinct())
-    return reach.filter("tx_id = blocker").select("tx_id")
+    left, found, n = keep(edges.filter("tx_id <> blocker").select("tx_id", "blocker").distinct()), None, -1
+    while (now := left.count()) > small:
+        if now != n:
+            n = now
+            left = keep(left.join(left.select(F.col("tx_id").alias("blocker")).distinct(), "blocker", "left_semi").join(left.select(F.col("blocker").alias("tx_id")).distinct(), "tx_id", "left_semi").select("tx_id", "blocker"))
+            continue
+        label = keep(left.select(F.col("tx_id").alias("node")).union(left.select("blocker")).distinct().withColumn("label", F.col("node")))
+        while True:
+            told = left.join(label, left["tx_id"] == label["node"]).groupBy("blocker").agg(F.min("label").alias("told"))
+            after = keep(label.join(told, label["node"] == told["blocker"], "left").select("node", F.least("label", F.coalesce("told", "label")).alias("label"), (F.col("told") < F.col("label")).alias("changed")))
+            changed = after.filter("changed").limit(1).count()
+            label = after.select("node", "label")
+            if not changed:
+                break
+        # Edges inside a label, read backwards from the node that gave it.
+        inner = left.join(label.select(F.col("node").alias("tx_id"), "label"), "tx_id").join(label.select(F.col("node").alias("blocker"), F.col("label").alias("other")), "blocker").filter("label = other").select("tx_id", "blocker")
+        inner, back = keep(inner), keep(label.filter("node = label").select("node"))
+        while True:
+            more = inner.join(back.withColumnRenamed("node", "blocker"), "blocker", "left_semi").select(F.col("tx_id").alias("node")).distinct().join(back, "node", "left_anti")
+            more = keep(more)
+            if not more.limit(1).count():
+                break
+            back = keep(back.unionByName(more))
+        # A label's own node is on a circle if something inside leads back to it.
+        own = back.join(label, "node").groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+        part = keep(back.join(label, "node").join(own, "label", "left_semi").select(F.col("node").alias("tx_id")))
+        found = part if found is None else found.unionByName(part)
+        left = keep(left.join(back.withColumnRenamed("node", "tx_id"), "tx_id", "left_anti").join(back.withColumnRenamed("node", "blocker"), "blocker", "left_anti").select("tx_id", "blocker"))
+        n = -1
+
+    def search(batches):
+        rows = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(_circles(rows), kind)], names=["tx_id"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(left.schema["tx_id"].dataType)
+    rest = left.coalesce(1).mapInArrow(search, f"tx_id {left.schema['tx_id'].dataType.simpleString()}")
+    return rest if found is None else found.unionByName(rest)

@@ -7,22 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that a sequence is dealt in by approximate percentiles of its first column.
-PARTS = 256
+from .checkpoints import cut
 
+#: Rows of a part that one task sorts; small tables are dealt to more parts, of FEW rows.
+ROWS, FEW, SPREAD = 1_000_000, 10_000, 64
 
-def numbered(df: DataFrame, by: str, ties: Sequence[Column] = (), name: str = "sequence_number", start: int = 1, parts: int = PARTS) -> DataFrame:
-    """Adds `name`: start, start + 1, ... in the order of (by, ties). `by` is numeric; nulls come first.
 
-    The rows are dealt to parts by percentiles of `by`, numbered in each, and the sizes of the parts before are added; the sizes
-    are at most parts + 2 rows, so they are broadcast. Very frequent values of `by` share a part: give one that spreads.
+def numbered(df: DataFrame, by: str, ties: Sequence[Column] = (), name: str = "sequence_number", start: int = 1, parts: int | None = None) -> DataFrame:
+    """Adds `name`: start, start + 1, ... in the order of (by, ties); nulls come first.
+
+    The rows are ranged by (by, ties) into parts of some ROWS, so a frequent value of `by` is split by the ties; each part is sorted and written
+    once, and the sizes of the parts before are added. There is a size for each part, so they are broadcast. Rows that tie on everything share a part.
     """
-    cuts = df.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
-    cuts = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
-    part = F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(by))), F.lit(-1))
-    dealt = df.withColumn("__part", F.when(F.col(by).isNull(), -1).otherwise(part))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    if parts is None:
+        n = df.count()
+        parts = max(n // ROWS, min(SPREAD, n // FEW)) + 1
+    order = [F.col(by).asc_nulls_first(), *ties]
+    # The upper bits of the id are the part's number, the lower ones the place in it.
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__n", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    own = Window.partitionBy("__part").orderBy(F.col(by).asc_nulls_first(), *ties)
-    return dealt.withColumn(name, F.row_number().over(own)).join(F.broadcast(sizes), "__part").withColumn(name, (F.col(name) + F.col("__n") + (start - 1)).cast("long")).drop("__part", "__n")
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn(name, (place + F.col("__n") + start).cast("long")).drop("__part", "__id", "__n")

@@ -35,6 +35,13 @@ def expired(log: DataFrame, now: int, timeout_ms: int = TIMEOUT_MS) -> DataFrame
     return begun.filter(F.col("event").isin("begin", "prepare") & (F.lit(now) - F.col("started") > timeout_ms)).select("tx_id", "started")
 
 
+def transaction(log: DataFrame, operations: DataFrame, tx_id: str) -> DataFrame:
+    """An active transaction with its operations so far: (tx_id, state, started, op_seq, kind, key, value); no row if it has ended."""
+    own = final_state(log.filter(F.col("tx_id") == tx_id)).filter(F.col("state").isin("Active", "Preparing"))
+    begun = log.filter((F.col("tx_id") == tx_id) & (F.col("event") == "begin")).groupBy("tx_id").agg(F.min("ts").alias("started"))
+    return own.join(begun, "tx_id").join(operations.filter(F.col("tx_id") == tx_id), "tx_id", "left").select("tx_id", "state", "started", "op_seq", "kind", "key", "value")
+
+
 def active_count(log: DataFrame) -> DataFrame:
     return final_state(log).agg(F.count_if(F.col("state").isin("Active", "Preparing")).alias("active"))
 

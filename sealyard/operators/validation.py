@@ -75,20 +75,35 @@ def _broken(rule: str, bound, text: Column, number: Column) -> Column:
 
 def violations(document: Column, schema: Schema) -> Column:
     """An array of 'field: what' for a JSON text; 'document: not JSON' if it isn't an object."""
-    parsed = F.try_parse_json(document)
+    # A lambda's argument is a value: the text is parsed once for each document, and each field read once.
+    return _value(F.try_parse_json(document), lambda parsed: _of_parsed(parsed, schema))
+
+
+def _value(x: Column, use) -> Column:
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _of_parsed(parsed: Column, schema: Schema) -> Column:
     bad = parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT")
-    found: list[Column] = [F.when(bad, F.lit("document: not JSON"))]
+    fields = [F.lit(None).cast("array<string>")]
     for name, spec in schema.fields.items():
-        part = F.try_variant_get(parsed, f"$.{name}", "variant")
-        missing = part.isNull() | F.is_variant_null(part)
-        text, number = F.try_variant_get(parsed, f"$.{name}", "string"), F.try_variant_get(parsed, f"$.{name}", "double")
-        kind = F.regexp_extract(F.schema_of_variant(part), "^[A-Z]+", 0)
-        here = ~bad & ~missing
-        if spec.required or name in schema.required:
-            found.append(F.when(~bad & missing, F.lit(f"{name}: missing")))
-        found.append(F.when(here & ~kind.isin(*TYPES[spec.type]), F.lit(f"{name}: not {spec.type}")))
-        found += [F.when(here & _broken(rule, bound, text, number), F.lit(f"{name}: {rule}")) for rule, bound in spec.rules.items()]
-    return F.array_compact(F.array(*found))
+        own = F.struct(F.try_variant_get(parsed, f"$.{name}", "variant").alias("v"), F.try_variant_get(parsed, f"$.{name}", "string").alias("text"), F.try_variant_get(parsed, f"$.{name}", "double").alias("number"))
+        fields.append(_value(own, _checker(name, spec, spec.required or name in schema.required)))
+    good = F.flatten(F.array_compact(F.array(*fields)))
+    return F.when(bad, F.array(F.lit("document: not JSON"))).otherwise(good)
+
+
+def _checker(name: str, spec: Field, required: bool):
+    return lambda f: _of_field(f, name, spec, required)
+
+
+def _of_field(f: Column, name: str, spec: Field, required: bool) -> Column:
+    kind = F.regexp_extract(F.schema_of_variant(f["v"]), "^[A-Z]+", 0)
+    missing = f["v"].isNull() | F.is_variant_null(f["v"])
+    found = [F.when(~kind.isin(*TYPES[spec.type]), F.lit(f"{name}: not {spec.type}"))]
+    found += [F.when(_broken(rule, bound, f["text"], f["number"]), F.lit(f"{name}: {rule}")) for rule, bound in spec.rules.items()]
+    none = F.array(F.lit(f"{name}: missing")) if required else F.array().cast("array<string>")
+    return F.when(missing, none).otherwise(F.array_compact(F.array(*found)))
 
 
 def validated(docs: DataFrame, schema: Schema, value: str = "value", max_bytes: int = 16 << 20) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import ZERO32, merkle_proof, proof_root
+from ..functions.hashing import ZERO32, merkle_levels, proof_from_levels, proof_root
 from .blocks import BATCH, block_index, grouped, recomputed
 
 CHECKS = ("hash_ok", "root_ok", "link_ok", "count_ok", "records_ok")
@@ -46,12 +46,38 @@ def tip_matches(blocks: DataFrame, height: int, tip: bytes) -> DataFrame:
     return last.select(((F.col("height") == height) & (F.col("tip") == F.lit(tip))).alias("valid"))
 
 
+def block_at(blocks: DataFrame, index: int) -> DataFrame:
+    """The block of an index, or no row."""
+    return blocks.filter(F.col("index") == index)
+
+
+def tip(blocks: DataFrame) -> DataFrame:
+    """One row: the last block, and the chain's length with the genesis."""
+    last = blocks.agg(F.max_by(F.struct(*blocks.columns), "index").alias("b"), F.count("*").alias("length"))
+    return last.select("b.*", "length")
+
+
+def all_valid(checks: DataFrame, identity_checks: DataFrame) -> DataFrame:
+    """One row: whether the data's chain and the identities' chain both hold."""
+    data = is_valid(checks).select(F.col("valid").alias("chain_valid"))
+    people = identity_checks.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("identities_valid"))
+    return data.crossJoin(F.broadcast(people)).withColumn("valid", F.col("chain_valid") & F.col("identities_valid"))
+
+
 def proofs(wanted: DataFrame, records: DataFrame, batch: int = BATCH) -> DataFrame:
     """For the hashes wanted: index, place in the block, number of leaves, proof, and root. Records of blocks that aren't full are not sealed."""
-    here = records.join(wanted.select("hash"), "hash").select("hash", "sequence_number", block_index(batch).cast("long").alias("index"))
+    asked = records.join(wanted.select("hash"), "hash", "left_semi").select("hash", "sequence_number", block_index(batch).cast("long").alias("index"))
+    asked = asked.groupBy("index").agg(F.collect_list(F.struct("hash", "sequence_number")).alias("asked"))  # at most `batch`
     groups = grouped(records, batch).filter(F.col("n_records") == batch)
-    found = here.join(groups, "index").withColumn("place", (F.col("sequence_number") - F.col("first_sequence")).cast("int"))
-    return found.select("hash", "index", "place", F.col("n_records").alias("leaves"), merkle_proof("hashes", "place").alias("proof"), "merkle_root")
+    trees = groups.join(asked, "index").withColumn("levels", F.array(merkle_levels("hashes")))
+
+    def answer(levels: Column) -> Column:
+        place = lambda a: (a["sequence_number"] - F.col("first_sequence")).cast("int")
+        return F.transform("asked", lambda a: F.struct(a["hash"].alias("hash"), place(a).alias("place"), proof_from_levels(levels, place(a)).alias("proof")))
+
+    # A block's tree is hashed once: inside the lambda it is a value.
+    found = trees.select("index", "n_records", "merkle_root", F.explode(F.flatten(F.transform("levels", answer))).alias("p"))
+    return found.select("p.hash", "index", "p.place", F.col("n_records").alias("leaves"), "p.proof", "merkle_root")
 
 
 def verify_proofs(found: DataFrame) -> DataFrame:

@@ -64,25 +64,30 @@ def txn_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter("e % 4 = 0")
+    e = events(spark, sf_dir).filter("e % 2 = 0")
     rows = e.select(text("k", F.col("user_id")).alias("key"), (F.col("e") % 97).cast("string").alias("tx_id"), F.when(F.col("e") % 8 == 0, "exclusive").otherwise("shared").alias("mode"))
     return rows.groupBy("key", "tx_id").agg(F.min("mode").alias("mode"))
 
 
 def lock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter("e % 4 = 1")
+    e = events(spark, sf_dir).filter("e % 2 = 1")
     return e.select(text("k", F.col("user_id") % 170).alias("key"), (F.col("e") % 97).cast("string").alias("tx_id"), F.when(F.col("e") % 3 == 0, "exclusive").otherwise("shared").alias("mode"), F.col("e").alias("requested_at"))
 
 
 def wait_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter("e % 9 = 0")
-    return e.select((F.col("e") % 211).cast("string").alias("tx_id"), ((F.col("user_id") * 7 + 3) % 211).cast("string").alias("blocker")).filter("tx_id <> blocker AND CAST(tx_id AS INT) % 3 = 0")
+    """Each event is a transaction that waits for two others of its hundred, but every third one waits for none."""
+    e, base = F.col("e"), F.col("e") - F.col("e") % 100
+    blockers = F.array((base + (e * 7 + 3) % 100).cast("string"), (base + F.col("user_id") % 100).cast("string"))
+    return events(spark, sf_dir).filter("e % 3 <> 0").select(e.cast("string").alias("tx_id"), F.explode(blockers).alias("blocker")).filter("tx_id <> blocker")
 
 
 def raft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is an entry of one of five nodes; a node lags behind by so many twentieths of the log as its number says."""
     index = F.floor(F.col("e") / 5) + 1
     rows = events(spark, sf_dir).select(F.concat(F.lit("n"), (F.col("e") % 5).cast("string")).alias("node_id"), index.alias("index"), (F.floor(index / 50) + 1).alias("term"), F.lit("put").alias("kind"), text("k", index).alias("key"), text("v", index + F.when(F.col("e") % 499 == 0, 1).otherwise(0)).alias("value"))
-    return rows.filter(F.col("index") <= 190 - F.substring("node_id", 2, 1).cast("int") * 20)
+    last = events(spark, sf_dir).agg((F.floor(F.max("e") / 5) + 1).alias("last"))
+    lag = F.floor(F.col("last") * F.substring("node_id", 2, 1).cast("int") / 20)
+    return rows.crossJoin(F.broadcast(last)).filter(F.col("index") <= F.col("last") - lag).drop("last")
 
 
 def permission_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +104,6 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.hashing import permissions_root
 
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 400")
+    c = table(spark, sf_dir, "customer")
     perms = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("Write"), F.lit("Read"))).otherwise(F.array(F.lit("Read")))
     return c.select(F.col("c_custkey").alias("position"), F.col("c_name").alias("user_id"), F.unhex(F.sha2(F.col("c_name").cast("binary"), 256)).alias("public_key"), (F.col("c_custkey") % 7).cast("long").alias("creation_block"), (F.col("c_custkey") * 1000).cast("long").alias("creation_timestamp"), permissions_root(perms).alias("permissions_root"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, hashing
 from ..functions.codec import hex_lower
 from ..operators import blocks, compaction, identity, indexes, ingest, locks, replication, scans, stats, transactions, validation, verify
+from ..operators.checkpoints import cut
 from . import inputs as I
 from .inputs import BATCH, table
 
@@ -31,9 +32,10 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _chain(spark, sf_dir):
-    r = I.order_records(spark, sf_dir)
+    """The chain and its records. Both are written once: numbering and chaining run once, whatever reads them."""
+    r = cut(I.order_records(spark, sf_dir))
     first = blocks.genesis(spark)
-    return first.unionByName(blocks.seal(r, bytes(first.first().hash), BATCH)), r
+    return cut(first.unionByName(blocks.seal(r, bytes(first.first().hash), BATCH))), r
 
 
 # ---------------------------------------------------------------- integrity
@@ -76,16 +78,45 @@ def verify_tampered(spark, sf_dir):
 
 @query
 def merkle_proof(spark, sf_dir):
-    r = I.order_records(spark, sf_dir)
-    found = verify.proofs(r.filter("sequence_number % 101 = 0").select("hash"), r, BATCH)
+    """Of every record of a full block."""
+    r = cut(I.order_records(spark, sf_dir))
+    found = verify.proofs(r.select("hash"), r, BATCH)
     steps = F.array_join(F.transform("proof", lambda p: F.concat(F.when(p["is_left"], "L").otherwise("R"), hex_lower(p["sibling"]))), ",")
     return found.select(hex_lower("hash").alias("hash"), "index", "place", steps.alias("proof"))
 
 
 @query
 def proof_roundtrip(spark, sf_dir):
-    r = I.order_records(spark, sf_dir)
-    return verify.verify_proofs(verify.proofs(r.filter("sequence_number % 13 = 0").select("hash"), r, BATCH)).groupBy("proved").agg(F.count("*").alias("n"))
+    r = cut(I.order_records(spark, sf_dir))
+    return verify.verify_proofs(verify.proofs(r.select("hash"), r, BATCH)).groupBy("proved").agg(F.count("*").alias("n"))
+
+
+@query
+def forced_blocks(spark, sf_dir):
+    """The last records are sealed too, in a block that isn't full."""
+    chain = blocks.seal(cut(I.order_records(spark, sf_dir)), bytes(blocks.genesis(spark).first().hash), BATCH, force=True)
+    return chain.select("index", "n_records", "first_sequence", hex_lower("merkle_root").alias("merkle_root"))
+
+
+@query
+def chain_tip(spark, sf_dir):
+    return verify.tip(_chain(spark, sf_dir)[0]).select("index", "n_records", hex_lower("merkle_root").alias("merkle_root"), "length")
+
+
+@query
+def block_by_index(spark, sf_dir):
+    return verify.block_at(_chain(spark, sf_dir)[0], 7).select("index", "timestamp", "n_records", "first_sequence", hex_lower("merkle_root").alias("merkle_root"))
+
+
+@query
+def integrity_of_all(spark, sf_dir):
+    """The chain of the data and that of the identities, the latter with one forged entry."""
+    chain, r = _chain(spark, sf_dir)
+    people = identity.identity_chain(I.identities(spark, sf_dir))
+    forged = people.withColumn("creation_block", F.when(F.col("position") == 100, F.lit(99).cast("long")).otherwise(F.col("creation_block")))
+    checks = verify.verify_chain(chain, r, BATCH)
+    rows = [verify.all_valid(checks, identity.verify_identity_chain(x)).withColumn("people", F.lit(name)) for name, x in (("true", people), ("forged", forged))]
+    return rows[0].unionByName(rows[1])
 
 
 # ---------------------------------------------------------------- scans
@@ -202,6 +233,21 @@ def encode_base64(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.col("encoded").cast("binary"), 256).alias("encoded_sha256"), F.length(codec.decode_field("encoded", F.lit("base64"))).cast("long").alias("n_bytes"))
 
 
+@query
+def lossy_text(spark, sf_dir):
+    """Values whose UTF-8 a stray byte breaks after the first letter."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    broken = F.concat(F.substring("text", 1, 1).cast("binary"), F.lit(b"\xff"), F.substring("text", 2, 20).cast("binary"))
+    return d.select("doc_id", codec.encode_field(broken, F.lit("utf8")).alias("shown"))
+
+
+@query
+def listed_fields(spark, sf_dir):
+    """Names of fields from a list as the command line takes it."""
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.explode(codec.field_list(F.concat("c_name", F.lit(" , "), "c_mktsegment", F.lit(",x")))).alias("field"))
+
+
 @query
 def operation_hash(spark, sf_dir):
     ops = I.txn_operations(spark, sf_dir).withColumn("nonce", F.col("op_seq").cast("long"))
@@ -307,6 +353,17 @@ def txn_committed_writes(spark, sf_dir):
     return _plain(transactions.committed_writes(I.txn_operations(spark, sf_dir), I.txn_log(spark, sf_dir)).select("tx_id", "key", "value", "timestamp"))
 
 
+@query
+def txn_read_set(spark, sf_dir):
+    return _plain(transactions.read_sets(I.txn_operations(spark, sf_dir)))
+
+
+@query
+def txn_lookup(spark, sf_dir):
+    """One transaction that is preparing, with its operations."""
+    return _plain(transactions.transaction(I.txn_log(spark, sf_dir), I.txn_operations(spark, sf_dir), "6"))
+
+
 @query
 def two_phase_decision(spark, sf_dir):
     votes = I.events(spark, sf_dir).select((F.col("e") % 300).cast("string").alias("tx_id"), (F.col("e") % 31 != 0).alias("vote"))
@@ -330,9 +387,16 @@ def wait_for_graph(spark, sf_dir):
 
 
 @query
-def deadlock_members(spark, sf_dir):
-    from ..operators.checkpoints import cut
+def locks_released(spark, sf_dir):
+    """Every fifth transaction lets all go, every seventh one key of its own."""
+    held = I.held_locks(spark, sf_dir)
+    some = held.filter("CAST(tx_id AS INT) % 7 = 0 AND mode = 'shared'").select("key", "tx_id")
+    whole = held.filter("CAST(tx_id AS INT) % 5 = 0").select(F.lit(None).cast("binary").alias("key"), "tx_id").distinct()
+    return _plain(locks.released(held, some.unionByName(whole)))
 
+
+@query
+def deadlock_members(spark, sf_dir):
     return locks.deadlocked(I.wait_edges(spark, sf_dir), cut)
 
 
@@ -346,13 +410,9 @@ def raft_last_entries(spark, sf_dir):
 
 @query
 def raft_commit_index(spark, sf_dir):
+    """For each term of the log."""
     log = I.raft_log(spark, sf_dir)
-    match = replication.last_entries(log).select("node_id", F.col("last_index").alias("match_index"))
-    one = None
-    for term in range(1, 5):
-        part = replication.commit_index(match, log, term).withColumn("term", F.lit(term))
-        one = part if one is None else one.unionByName(part)
-    return one
+    return replication.commit_indexes(replication.last_entries(log).select("node_id", F.col("last_index").alias("match_index")), log)
 
 
 @query
@@ -370,7 +430,66 @@ def raft_election(spark, sf_dir):
 
 @query
 def raft_unapplied(spark, sf_dir):
-    return _plain(replication.unapplied(I.raft_log(spark, sf_dir), 100, 120).select("node_id", "index", "key"))
+    """Entries that three of five nodes have, after the first half of them."""
+    log, q = _committed(spark, sf_dir)
+    return _plain(replication.unapplied(log.crossJoin(F.broadcast(q)), F.floor(F.col("quorum") / 2), F.col("quorum")).select("node_id", "index", "key"))
+
+
+def _committed(spark, sf_dir):
+    log = I.raft_log(spark, sf_dir)
+    return log, replication.last_entries(log).agg(F.sort_array(F.collect_list("last_index"), asc=False).alias("m")).select(F.col("m")[2].alias("quorum"))
+
+
+@query
+def raft_applied(spark, sf_dir):
+    """The committed entries of node 0 as puts into a ledger that has every tenth key."""
+    log, q = _committed(spark, sf_dir)
+    known = log.filter("node_id = 'n0' AND index % 10 = 0").select("key")
+    return _plain(replication.applied(log.filter("node_id = 'n0'").crossJoin(F.broadcast(q)), known, F.lit(0), F.col("quorum")).select("key", "value", "index"))
+
+
+@query
+def raft_append(spark, sf_dir):
+    """A leader's entries replace what a follower has from two thirds on."""
+    log = I.raft_log(spark, sf_dir)
+    last = replication.last_entries(log).filter("node_id = 'n3'").first().last_index
+    previous = last * 2 // 3
+    mine, new = log.filter("node_id = 'n3'"), log.filter((F.col("node_id") == "n0") & (F.col("index") > previous)).withColumn("node_id", F.lit("n3"))
+    return _plain(replication.appended(mine, new, previous).select("node_id", "index", "term", "key", "value"))
+
+
+def _states(spark, sf_dir):
+    """Each event is a state that a node reports."""
+    e = F.col("e")
+    state = F.when(e % 13 == 0, "Leader").when(e % 3 == 0, "Candidate").otherwise("Follower")
+    return I.events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("node_id"), e.alias("ts"), e.alias("seq"), (F.floor(e / 40) - F.when(e % 97 == 0, 2).otherwise(0)).alias("term"), state.alias("state"))
+
+
+@query
+def raft_leader(spark, sf_dir):
+    return replication.leader(_states(spark, sf_dir))
+
+
+@query
+def raft_illegal_states(spark, sf_dir):
+    return replication.state_changes(_states(spark, sf_dir)).select("node_id", "seq", "term", "state")
+
+
+@query
+def raft_incomplete_leaders(spark, sf_dir):
+    """Leaders of a term that lack entries which three of five nodes have from earlier terms."""
+    log, q = _committed(spark, sf_dir)
+    leaders = log.select("term").distinct().select("term", F.concat(F.lit("n"), (F.col("term") % 5).cast("string")).alias("leader_id"))
+    done = log.crossJoin(F.broadcast(q)).filter("index <= quorum").select("index", "term").distinct()
+    return replication.incomplete_leaders(leaders, log, done)
+
+
+@query
+def raft_read_only(spark, sf_dir):
+    """Entries that need consensus, by kind."""
+    e = F.col("e")
+    kinds = F.when(e % 7 == 0, "noop").when(e % 3 == 0, "delete").otherwise("put")
+    return replication.requires_consensus(I.events(spark, sf_dir).select(kinds.alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query
@@ -404,10 +523,31 @@ def permission_check(spark, sf_dir):
     granted = identity.effective(I.permission_events(spark, sf_dir))
     users = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), (F.col("c_custkey") % 5 != 0).alias("active"))
     asked = F.explode(F.array(*map(F.lit, ("Read", "Write", "CreateUser", "RevokePermission", "ModifyClusterConfig"))))
-    requests = spark.range(1, 200).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_id"), asked.alias("wanted"))
+    requests = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), asked.alias("wanted"))
     return identity.decisions(requests, users.filter("user_id <> 'u3'"), granted)
 
 
+@query
+def permission_sets(spark, sf_dir):
+    """Each user's set in force, with one added and one removed, and merged with a preset."""
+    held = identity.effective(I.permission_events(spark, sf_dir)).groupBy("user_id").agg(F.array_sort(F.collect_set("permission")).alias("held"))
+    p, preset = F.col("held"), F.array(*map(F.lit, identity.PRESETS["read_write"]))
+    names = lambda x: F.array_join(x, ",")
+    return held.select("user_id", names(identity.with_permission(p, F.lit("Delete"))).alias("added"), names(identity.without_permission(p, F.lit("Read"))).alias("removed"), names(identity.merged(p, preset)).alias("merged"), identity.holds(p, F.lit("Read")).alias("exact"), identity.allows(p, F.lit("Read")).alias("implied"))
+
+
+@query
+def admin_grants(spark, sf_dir):
+    """Changes of permissions that are for administrators only."""
+    return I.permission_events(spark, sf_dir).filter(identity.is_admin_only(F.col("permission"))).select("event_id", "user_id", "permission", "action")
+
+
+@query
+def user_operations(spark, sf_dir):
+    ops = I.events(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), F.col("e").alias("nonce"), "event_type")
+    return identity.operations_of(ops, "7")
+
+
 @query
 def audit_trail(spark, sf_dir):
     return identity.audit_trail(I.permission_events(spark, sf_dir), "u7")

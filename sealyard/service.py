@@ -19,6 +19,7 @@ from .errors import Aborted, Denied, DuplicateKey, Invalid, LedgerError, NotFoun
 from .functions import codec
 from .ledger import Ledger
 from .operators import identity, scans, transactions
+from .operators.checkpoints import cut
 
 
 @dataclass(frozen=True)
@@ -63,8 +64,7 @@ class Service:
         self._authorise(token, "Write")
         decoded = rows.select("position", codec.decode_field("key", F.lit(encoding)).alias("key"), codec.decode_field("value", F.lit(encoding)).alias("value"), F.lit(self.now()).alias("timestamp"))
         good = decoded.filter(F.col("key").isNotNull() & F.col("value").isNotNull())
-        status = self.ledger.with_status(good, "position").persist()
-        status.count()  # before the append changes the ledger that it was read from
+        status = cut(self.ledger.with_status(good, "position"))  # before the append changes the ledger that it was read from
         self.ledger.append(good, "position", ties=[])
         bad = decoded.filter(F.col("key").isNull() | F.col("value").isNull()).withColumn("status", F.lit("not_decodable"))
         return status.unionByName(bad).select("position", "status", (F.col("status") == "accepted").alias("success"))
@@ -77,9 +77,7 @@ class Service:
             if decision is None or decision.decision != "commit":
                 raise Aborted(tx_id)
         puts = transactions.write_sets(own.filter("lower(kind) = 'put'"))
-        if scans.existing(puts.select("key"), self.ledger.records()).first() is not None:
-            raise DuplicateKey(f"transaction {tx_id} writes a key that is there")
-        return self.ledger.append(puts.select("key", "value", F.lit(self.now()).alias("timestamp"), "op_seq"), "op_seq", ties=[])
+        return self.ledger.append(puts.select("key", "value", F.lit(self.now()).alias("timestamp"), "op_seq"), "op_seq", ties=[], whole=True)
 
     def health(self) -> dict:
         s = self.ledger.stats()
@@ -97,13 +95,18 @@ class Service:
 
     # ------------------------------------------------------------ users and sessions
 
-    def _events(self, kind: str) -> list[dict]:
-        rows = self.log.prefix(kind.encode() + b":").select("key", "value", "timestamp", "sequence_number").orderBy("sequence_number").collect()
-        return [json.loads(bytes(r.value)) | {"ts": r.timestamp, "event_id": r.sequence_number} for r in rows]
+    def _events(self, kind: str, fields: str, user: str | None = None) -> DataFrame:
+        """(event_id, ts, fields) of one kind of event; of one user it is a range of keys, as they begin with the user."""
+        rows = self.log.prefix(f"{kind}:{user}:".encode() if user is not None else f"{kind}:".encode())
+        found = rows.select(F.col("sequence_number").alias("event_id"), F.col("timestamp").alias("ts"), F.from_json(F.col("value").cast("string"), fields).alias("e")).select("event_id", "ts", "e.*")
+        return found if user is None else found.filter(F.col("user_id") == user)  # another user's name may go on with a colon
 
     def _note(self, kind: str, name: str, **what) -> None:
         self.log.put(f"{kind}:{name}".encode(), json.dumps(what).encode(), self.now())
 
+    def _add(self, kind: str, user: str, **what) -> None:
+        self._note(kind, f"{user}:{uuid.uuid4().hex}", user_id=user, **what)
+
     def create_user(self, user: str, password: str, permissions: list[str]) -> None:
         ok = self.spark.range(1).select(codec.password_ok(F.lit(password), self.auth.password_length, self.auth.strong_passwords)).first()[0]
         unknown = [p for p in permissions if p not in identity.PERMISSIONS]
@@ -115,22 +118,20 @@ class Service:
         except DuplicateKey:
             raise Invalid(f"there is a user {user!r}") from None
         for p in permissions:
-            self._note("permission", uuid.uuid4().hex, user_id=user, permission=p, action="grant", actor="system")
+            self._add("permission", user, permission=p, action="grant", actor="system")
 
     def login(self, user: str, password: str) -> str:
-        found = next((u for u in self._events("user") if u["user_id"] == user), None)
-        if found is None:
+        stored = self.log.get(f"user:{user}".encode())
+        if stored is None:
             raise NotFound(user)
+        found = json.loads(stored)
         if self.status(user) != "Active":
             raise Denied("the account is not active")
-        attempts = [(a["event_id"], a["ts"], a["user_id"], a["success"]) for a in self._events("login")]
-        if attempts:
-            log = self.spark.createDataFrame(attempts, "event_id long, ts long, user_id string, success boolean")
-            locked = identity.locked(log, self.auth.max_failures, self.now(), self.auth.lockout_seconds * 1000)
-            if locked.filter(F.col("user_id") == user).first() is not None:
-                raise Denied("the account is locked")
+        log = self._events("login", "user_id string, success boolean", user)
+        if identity.locked(log, self.auth.max_failures, self.now(), self.auth.lockout_seconds * 1000).first() is not None:
+            raise Denied("the account is locked")
         good = hashlib.sha256(password.encode() + bytes.fromhex(found["salt"])).hexdigest() == found["hash"]
-        self._note("login", uuid.uuid4().hex, user_id=user, success=good)
+        self._add("login", user, success=good)
         if not good:
             raise Denied("wrong user or password")
         token = uuid.uuid4().hex
@@ -138,37 +139,33 @@ class Service:
         return token
 
     def users(self) -> list[str]:
-        return sorted(u["user_id"] for u in self._events("user"))
+        return [u.user_id for u in self._events("user", "user_id string").select("user_id").orderBy("user_id").toLocalIterator()]
 
     def status(self, user: str) -> str:
         """Active unless the last change says otherwise; a suspension ends by itself."""
-        rows = [(e["event_id"], e["ts"], e["user_id"], e["status"], e["until"]) for e in self._events("status") if e["user_id"] == user]
-        if not rows:
-            return "Active"
-        changes = self.spark.createDataFrame(rows, "event_id long, ts long, user_id string, status string, until long")
-        return identity.status_at(changes, self.now()).first().status
+        found = identity.status_at(self._events("status", "user_id string, status string, until long", user), self.now()).first()
+        return "Active" if found is None else found.status
 
     def set_status(self, token: str, user: str, status: str, until: int | None = None) -> None:
         """Active, Suspended (until a time, or open) or Revoked."""
         actor = self._authorise(token, "ModifyUser", always=True)
         if status not in ("Active", "Suspended", "Revoked"):
             raise Invalid(status)
-        self._note("status", uuid.uuid4().hex, user_id=user, status=status, until=until, actor=actor)
+        self._add("status", user, status=status, until=until, actor=actor)
 
     def logout(self, token: str) -> None:
         if not self.log.exists(f"session:{token}".encode()):
             raise NotFound("no such session")
         self._note("ended", token, session_id=token)
 
-    def _permission_events(self) -> DataFrame:
-        rows = [(e["event_id"], e["ts"], e["user_id"], e["permission"], e["action"], e["actor"]) for e in self._events("permission")]
-        return self.spark.createDataFrame(rows, "event_id long, ts long, user_id string, permission string, action string, actor string")
+    def _permission_events(self, user: str | None = None) -> DataFrame:
+        return self._events("permission", "user_id string, permission string, action string, actor string", user)
 
     def _change(self, action: str, token: str, user: str, permission: str) -> None:
         actor = self._authorise(token, "GrantPermission" if action == "grant" else "RevokePermission", always=True)
         if not self.log.exists(f"user:{user}".encode()):
             raise NotFound(user)
-        self._note("permission", uuid.uuid4().hex, user_id=user, permission=permission, action=action, actor=actor)
+        self._add("permission", user, permission=permission, action=action, actor=actor)
 
     def grant(self, token: str, user: str, permission: str) -> None:
         self._change("grant", token, user, permission)
@@ -177,10 +174,10 @@ class Service:
         self._change("revoke", token, user, permission)
 
     def permissions(self, user: str) -> list[str]:
-        return sorted(r.permission for r in identity.effective(self._permission_events()).filter(F.col("user_id") == user).collect())
+        return sorted(r.permission for r in identity.effective(self._permission_events(user)).collect())  # at most one of each
 
     def audit(self, user: str | None = None) -> DataFrame:
-        return identity.audit_trail(self._permission_events(), user)
+        return identity.audit_trail(self._permission_events(user), user)
 
     def _authorise(self, token: str | None, permission: str, always: bool = False) -> str:
         if not (self.auth.enabled or always):
@@ -193,7 +190,7 @@ class Service:
             raise Denied("the session has expired")
         asked = self.spark.createDataFrame([(session["user_id"], permission)], "user_id string, wanted string")
         users = asked.select("user_id", F.lit(self.status(session["user_id"]) == "Active").alias("active"))
-        if identity.decisions(asked, users, identity.effective(self._permission_events())).first().decision != "allowed":
+        if identity.decisions(asked, users, identity.effective(self._permission_events(session["user_id"]))).first().decision != "allowed":
             raise Denied(permission)
         return session["user_id"]
 

@@ -79,6 +79,10 @@ class Store:
         for s in segments:
             self._fs.delete(self._at(s["name"]), True)
 
+    def remove(self) -> None:
+        """Everything goes, manifests too."""
+        self._fs.delete(self._at(""), True)
+
     def compact(self, schema: str, files: int | None = None) -> dict:
         """Merges each level that holds too many runs into one run of the next, ranged by key; later runs win. The old segments stay for readers of
         older generations until `vacuum`."""

@@ -1,5 +1,7 @@
 """First writer wins, restarts, races, sealing, tampering, compaction, collections and streams."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,21 @@ def test_numbered(spark, parts):
     assert numbered(df.filter("false"), "x", name="n").count() == 0
 
 
+def test_numbered_by_ties_of_one_value(spark):
+    """Equal values of the first column are split by the others: no part holds all."""
+    df = spark.range(5000).select(F.lit(7).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("y"))
+    got = numbered(df, "x", [F.col("y")], "n", 1, 16).withColumn("part", F.spark_partition_id()).collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.y)] == list(range(1, 5001))
+    assert max(Counter(r.part for r in got).values()) < 1500
+
+
+def test_statuses_of_tied_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("c", 1)], "key string, at int")
+    known = spark.createDataFrame([("c",)], "key string")
+    got = Counter((r.key, r.status) for r in ingest.with_status(df, known, [F.col("at")]).collect())
+    assert got == {("a", "accepted"): 1, ("a", "duplicate_in_batch"): 2, ("b", "accepted"): 1, ("c", "duplicate_key"): 1}
+
+
 def test_compaction_keeps_records(spark, tmp_path):
     led = Ledger(spark, str(tmp_path / "l"), batch=4)
     for i in range(12):
@@ -154,6 +171,10 @@ def test_collections(spark, tmp_path):
     for bad in (b"{'name': 1}", doc("", "a@b"), doc("Al", "nomail"), b'{"name": "x"}', doc("Cy", "al@x")):
         with pytest.raises(Invalid):
             cols.get("users").append(puts(spark, [(b"k9", bad, 3)]))
+    with pytest.raises(Invalid):  # twice in one batch
+        users.append(puts(spark, [(b"k7", doc("Cy", "cy@x"), 3), (b"k8", doc("Di", "cy@x"), 4)]))
+    # A key that is there is left out, so the value that it would have had counts for nothing.
+    assert users.append(puts(spark, [(b"k", doc("Al", "bo@x"), 5), (b"k3", doc("Ed", "ed@x"), 6)])) == 1
     assert orders.append(puts(spark, [(b"k", b"anything", 1)])) == 1  # the same key elsewhere
     assert users.ledger.get(b"k") != orders.ledger.get(b"k")
     assert cols.get("users").index("by_email").filter("email = 'bo@x'").first().key == b"k2"

@@ -3,13 +3,14 @@
 import importlib.util
 import math
 import os
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sealyard.__main__ import main
-from sealyard.errors import Aborted, Denied, DuplicateKey, Invalid, NotFound
+from sealyard.errors import Aborted, Conflict, Denied, DuplicateKey, Invalid, NotFound
 from sealyard.operators import identity, locks, replication, transactions
 from sealyard.operators.checkpoints import cut
 from sealyard.plans.oracles import ORACLES
@@ -145,6 +146,66 @@ def test_deadlocks(spark):
     got = {r.tx_id for r in locks.deadlocked(spark.createDataFrame(edges, "tx_id string, blocker string"), cut).collect()}
     assert got == {"a", "b", "c", "e", "f"}
     assert locks.deadlocked(spark.createDataFrame([], "tx_id string, blocker string"), cut).count() == 0
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(75)] + [(k, k + 1) for k in range(100, 108)] + [(108, 104), (200, 200)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reached(start):
+        found, stack = set(), list(after.get(start, ()))
+        while stack:
+            if (x := stack.pop()) not in found:
+                found.add(x)
+                stack += after.get(x, ())
+        return found
+
+    want = {a for a in after if a in reached(a) and (reached(a) - {a}) and any(a in reached(b) for b in after[a] - {a})}
+    for small in (locks.SMALL, 5):
+        got = {r.tx_id for r in locks.deadlocked(spark.createDataFrame(edges, "tx_id long, blocker long"), cut, small).collect()}
+        assert got == want and len(want) > 8
+
+
+def test_released_locks(spark):
+    held = spark.createDataFrame([("a", "t1", "shared"), ("a", "t2", "shared"), ("b", "t2", "exclusive"), ("c", "t3", "exclusive")], "key string, tx_id string, mode string")
+    gone = spark.createDataFrame([("a", "t1"), (None, "t2"), ("c", "t1")], "key string, tx_id string")
+    assert [tuple(r) for r in locks.released(held, gone).collect()] == [("c", "t3", "exclusive")]
+
+
+def test_append_entries_and_voters(spark):
+    log = spark.createDataFrame([(i, 1, f"v{i}") for i in range(1, 6)], "index long, term long, value string")
+    new = spark.createDataFrame([(4, 2, "w4")], "index long, term long, value string")
+    assert [r.value for r in replication.appended(log, new, 3).orderBy("index").collect()] == ["v1", "v2", "v3", "w4"]
+    with pytest.raises(Invalid):
+        replication.appended(log, new, 6)
+
+
+def test_a_commit_is_whole_or_nothing(spark, tmp_path):
+    """A writer that comes between, and a key that is there: the transaction is aborted and nothing of it is written."""
+    from sealyard.ledger import Ledger
+    from sealyard.transaction import Transaction
+
+    led = Ledger(spark, str(tmp_path / "l"))
+    led.put(b"a", b"1", 1)
+    commit = led.store.commit
+    t = Transaction(led)
+    t.put(b"b", b"2")
+    led.store.commit = lambda base, **changes: (setattr(led.store, "commit", commit), Ledger(spark, str(tmp_path / "l")).put(b"c", b"3", 2), commit(base, **changes))[-1]
+    with pytest.raises(Conflict):
+        t.commit()
+    assert t.state == "Aborted" and led.get(b"b") is None and led.get(b"c") == b"3"
+    before = led.store.manifest()
+    twice = spark.createDataFrame([(bytearray(b"x"), bytearray(b"1"), 1), (bytearray(b"c"), bytearray(b"2"), 2)], "key binary, value binary, timestamp long")
+    with pytest.raises(DuplicateKey):
+        led.append(twice, whole=True)
+    assert led.get(b"x") is None and led.store.manifest() == before
+
+
+def test_users_whose_names_begin_alike(spark, tmp_path):
+    s = Service(spark, str(tmp_path / "s"), clock=Clock())
+    for name, perms in (("a", ["Read"]), ("a:b", ["Write", "Admin"])):
+        s.create_user(name, "Str0ng!pass", perms)
+    assert s.permissions("a") == ["Read"] and s.permissions("a:b") == ["Admin", "Write"] and s.users() == ["a", "a:b"]
 
 
 def test_commit_index_needs_the_current_term(spark):
