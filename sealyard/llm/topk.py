@@ -1,9 +1,10 @@
 """Exact top-k by inner product without random access: sorted lists are read from their ends, and bounds say when to stop.
 
 Candidates and queries are dealt to blocks by a hash of their id, so that every pair of blocks is one group of bounded size, whatever the
-number of vectors. In a block each component has a list of its candidates, ordered by value. A query reads every list sequentially, entry
-after entry, from the end that its own component's sign prefers, and adds up for each candidate what was read of it. At each of some
-depths a candidate's score is at least what was read of it plus the least that its unread lists can give, and at most the same with the values
+number of vectors. In a block each component has a list of its candidates, ordered by value. A query reads every list sequentially, from the end that
+its own component's sign prefers, and adds up for each candidate what was read of it. Queries of a block read in step, from depth to depth: the entries
+between two depths are one sparse matrix for each end of the lists, so what some queries read of them is a product, and nothing is read twice. At each
+depth a candidate's score is at least what was read of it plus the least that its unread lists can give, and at most the same with the values
 that the reading has reached. A query stops when the k-th greatest lower bound is above the upper bounds of all but a few; only
 their scores are then resolved, in exact integers. The blocks' k best are merged by rank.
 
@@ -26,8 +27,8 @@ from .common import cut
 
 #: Rows in a block of candidates and of queries.
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Shares of the lists that have been read when the bounds are looked at; and the share of a block's candidates that may be left to resolve.
-DEPTHS, LEFT = (1 / 16, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1), 1 / 16
+#: Shares of the lists that have been read when the bounds are looked at; the share of a block's candidates that may be left to resolve; queries that read in step.
+DEPTHS, LEFT, STEP = (1 / 16, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1), 1 / 16, 256
 _LONG = np.iinfo(np.int64)
 
 
@@ -50,45 +51,60 @@ def integers(rows: list, width: int, scale: int) -> tuple[np.ndarray, list | Non
 
 
 class Lists:
-    """A block's sorted lists: for each component the candidates by falling and by rising value, their values, and each one's place."""
+    """A block's sorted lists: each component's values in ascending order, and each candidate's place in them, ties in order of place."""
 
     def __init__(self, v: np.ndarray):
-        up = np.argsort(v, axis=0, kind="stable").T
-        values = np.take_along_axis(v.T, up, axis=1)
-        # The second half is read by queries with a negative component: signs are turned, so that both read falling values.
-        self.order = np.concatenate([up[:, ::-1], up])
-        self.values = np.concatenate([values[:, ::-1], -values])
-        place = np.empty_like(up)
-        np.put_along_axis(place, up, np.arange(len(v))[None, :], axis=1)
-        self.place = np.concatenate([len(v) - 1 - place, place]).astype(np.int32)
-        self.size = v.shape[0]
-
-
-def nra(query: np.ndarray, own: np.ndarray, lists: Lists, k: int, start: int = 0) -> tuple[np.ndarray, int]:
-    """Places of the candidates that can be among the k best, those in `own` apart, and how deep the lists were read. The first look is at `start` or deeper."""
-    n, d = lists.size, len(query)
-    used = np.flatnonzero(query)
-    rows = np.where(query[used] > 0, used, used + d)
-    weight = np.abs(query[used])
-    values, order, place = lists.values, lists.order, lists.place[rows]
+        up = np.argsort(v, axis=0, kind="stable")
+        self.v, self.values, self.size = v, np.take_along_axis(v, up, axis=0), len(v)
+        self.place = np.empty(v.shape, dtype=np.int32)
+        np.put_along_axis(self.place, up, np.arange(len(v), dtype=np.int32)[:, None], axis=0)
+        self.least, self.most = self.values[0], self.values[-1]
+
+    def read(self, done: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the entries between two depths give beyond the list's worst: read from the greatest down, and from the least up."""
+        down = np.where((self.place < self.size - done) & (self.place >= self.size - depth), self.v - self.least, 0.0)
+        return down, np.where((self.place >= done) & (self.place < depth), self.most - self.v, 0.0)
+
+    def reach(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What an entry that isn't read at this depth can give beyond the list's worst, and 0 for those that are."""
+        down = np.where(self.place < self.size - depth, self.values[self.size - depth] - self.least, 0.0)
+        return down, np.where(self.place >= depth, self.most - self.values[depth - 1], 0.0)
+
+
+def nra(queries: np.ndarray, own: list[list[int]], lists: Lists, k: int, start: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query the places of the candidates that can be among the k best, those in `own` apart, and how deep the lists were read. No look before `start`."""
+    n, d = lists.size, queries.shape[1]
+    plus, minus = np.maximum(queries, 0), np.maximum(-queries, 0)
+    found: list = [None] * len(queries)
+    depths = np.full(len(queries), n)
     with np.errstate(over="ignore", invalid="ignore"):
-        least, first = weight * values[rows, -1], weight * values[rows, 0]
-        slack = 4 * (d + 2) * 2.0**-52 * np.maximum(np.abs(least), np.abs(first)).sum()
-        if not np.isfinite(slack):
-            return np.setdiff1d(np.arange(n), own), n
-        lower, done = np.full(n, least.sum()), 0
-        lower[own] = -np.inf
-        for depth in [x for x in sorted({min(n, max(k, math.ceil(share * n))) for share in DEPTHS}) if x >= start or x == n]:
-            news = weight[:, None] * values[rows, done:depth] - least[:, None]
-            lower += np.bincount(order[rows, done:depth].ravel(), weights=news.ravel(), minlength=n)
-            reach = weight * values[rows, depth - 1] - least  # what an unread entry can give beyond the least
-            upper = lower + reach @ (place >= depth) if depth < n else lower
-            kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
-            inside = (upper + slack >= kth - slack) & (lower > -np.inf)
-            if depth == n or inside.sum() <= max(4 * k, n * LEFT):
-                return np.flatnonzero(inside), depth
-            done = depth
-    raise AssertionError("the last depth is all")
+        lower = plus @ lists.least[:, None] - minus @ lists.most[:, None] + np.zeros(n)
+        # Sums of products are off by no more than this.
+        slack = 4 * (d + 2) * 2.0**-52 * (np.abs(queries) @ np.maximum(np.abs(lists.least), np.abs(lists.most)))
+        for q, places in enumerate(own):
+            lower[q, places] = -np.inf
+            if not np.isfinite(slack[q]):
+                found[q] = np.setdiff1d(np.arange(n), places)
+        open_, done = np.array([q for q in range(len(queries)) if found[q] is None], dtype=np.int64), 0
+        for depth in [x for x in sorted({min(n, max(k, math.ceil(share * n))) for share in DEPTHS}) if x >= min(start, n)]:
+            if not len(open_):
+                break
+            p, m = plus[open_], minus[open_]
+            down, up = lists.read(done, depth)
+            now = lower[open_] + p @ down.T + m @ up.T
+            lower[open_] = now
+            upper = now
+            if depth < n:
+                down, up = lists.reach(depth)
+                upper = now + p @ down.T + m @ up.T
+            kth = np.partition(now, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+            inside = (upper + slack[open_, None] >= (kth - slack[open_])[:, None]) & (now > -np.inf)
+            stop = (inside.sum(axis=1) <= max(4 * k, n * LEFT)) | (depth == n)
+            for row in np.flatnonzero(stop).tolist():
+                found[open_[row]] = np.flatnonzero(inside[row])
+                depths[open_[row]] = depth
+            open_, done = open_[~stop], depth
+    return found, depths
 
 
 def _scores(query: int, places: np.ndarray, asked, v: np.ndarray, wide: tuple[list, list] | None):
@@ -105,17 +121,21 @@ def best(queries: list, query_ids: np.ndarray, candidates: list, ids: np.ndarray
     width = max(map(len, [*queries, *candidates]))
     (asked, wide_a), (v, wide_v) = (integers(x, width, scale) for x in (queries, candidates))
     wide = None if wide_a is None and wide_v is None else tuple(w or [[int(x) for x in row] for row in m.tolist()] for w, m in ((wide_a, asked), (wide_v, v)))
-    lists, out, read, depth = Lists(v), [], 0, 0
+    lists, out, read = Lists(v), [], 0
     where: dict = {}
     for i, x in enumerate(ids.tolist()):
         where.setdefault(x, []).append(i)
-    for q, own in enumerate(query_ids.tolist()):
-        # Queries of a block end at like depths: looks well before the last one's end would be in vain.
-        places, depth = nra(asked[q], np.array(where.get(own, []), dtype=np.int64), lists, k, depth * 3 // 4)
-        read += depth
-        score = _scores(q, places, asked, v, wide)
-        order = sorted(range(len(places)), key=lambda i: (-score[i], ids[places[i]]))[:k] if score.dtype == object else np.lexsort((ids[places], -score))[:k]
-        out += [(q, int(places[i]), int(score[i])) for i in order]
+    # The first queries tell how deep this block's lists are read: looks well before that would be in vain.
+    at, step, start = 0, STEP // 8, 0
+    while at < len(queries):
+        own = [where.get(x, []) for x in query_ids[at : at + step].tolist()]
+        inside, depths = nra(asked[at : at + step], own, lists, k, start)
+        read += int(depths.sum())
+        for q, places in enumerate(inside, at):
+            score = _scores(q, places, asked, v, wide)
+            order = sorted(range(len(places)), key=lambda i: (-score[i], ids[places[i]]))[:k] if score.dtype == object else np.lexsort((ids[places], -score))[:k]
+            out += [(q, int(places[i]), int(score[i])) for i in order]
+        at, step, start = at + step, STEP, int(depths.min()) * 3 // 4
     return out, read / max(1, len(queries) * len(ids))
 
 

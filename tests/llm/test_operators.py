@@ -601,8 +601,8 @@ def test_lists_are_read_until_outsiders_cannot_qualify():
     rnd = np.random.default_rng(3)
     v = np.floor(64 * rnd.exponential(1, (2000, 3)) ** 3)  # few large values: the lists' heads decide
     lists = topk.Lists(v)
-    for q in np.floor(64 * rnd.normal(0, 1, (20, 3))):
-        places, depth = topk.nra(q, np.array([5]), lists, 10)
+    queries = np.floor(64 * rnd.normal(0, 1, (20, 3)))
+    for q, places, depth in zip(queries, *topk.nra(queries, [[5]] * 20, lists, 10), strict=True):
         score = v @ q
         score[5] = -np.inf
         assert set(np.argsort(-score, kind="stable")[:10]) <= set(places) and 5 not in places
