@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +31,47 @@ def private(df: DataFrame, prefix: str) -> str:
     return prefix
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see; one of this machine only where the session names none and is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return shared or tempfile.mkdtemp(prefix="sealyard-")
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """What a query has shuffled is of no more use once its rows are written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the cluster's shared checkpoint folder; lineage ends there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sealyard-"))
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")  # what df has shuffled is of no more use once its rows are written
-    try:
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with _shuffles_freed(spark):
         return df.select("*").checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """As `cut`, for wide rows: as compressed Parquet, and the folder, which `discard` deletes when its rows have been used."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def trim() -> None:

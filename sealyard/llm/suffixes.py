@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, mix, powers, prefix_hash, sliced, trim
+from .common import cut, discard, join_counted, mix, powers, prefix_hash, sliced, stored, trim
 
 LENGTH, PERIOD = 50, 31
 #: A perfect difference cover of the period: every number below 31 is a difference of two of these.
@@ -517,7 +517,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", at_
 
     flagged = long_.select("key", "digest", "data").join(reps.join(replies, "digest"), ["key", "digest"])
     kinds = f"code long, key {kind}, digest long, ats array<long>, head int, size int, piece binary"
-    runs = cut(flagged.select("key", "digest", "data", "codes").mapInArrow(_emit(bits, at_once), kinds))
+    runs, folder = stored(flagged.select("key", "digest", "data", "codes").mapInArrow(_emit(bits, at_once), kinds))
     hot = cut(runs.filter("piece IS NOT NULL").groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket).select("code"))
     hot = F.broadcast(hot) if (n := hot.count()) <= FEW else hot
     if n:
@@ -525,6 +525,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", at_
         runs = cold.unionByName(runs.filter("piece IS NOT NULL").join(hot, "code", "left_semi").select(*_RUN).mapInArrow(_split, kinds))
     hits = runs.repartition("code").sortWithinPartitions("code", "key").mapInArrow(_compare(at_once), f"key {kind}, digest long, start long, end long")
     spans = cut(hits.groupBy("key", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    discard(docs.sparkSession, folder)
     first = long_.select("key", "digest", "n", "data").join(reps.join(spans, ["key", "digest"], "left"), ["key", "digest"])
 
     def finish(batches):
