@@ -3,7 +3,7 @@
 A text is read twice. Plain identifiers are found in it as it stands. Then a transducer rewrites it: look-alike
 characters become ASCII, invisible ones go, spelled digits become digits, and "(at)", " dot " and the like become @ and
 a dot; for each piece rewritten it notes where source and output stood. Identifiers found in the output are mapped back to
-the source characters that they were read from. A found span that overlaps a plain one of the same kind adds nothing.
+the source characters that they were read from. A found span that overlaps a plain one, of whichever kind, adds nothing.
 
 Offsets count code points; ends are exclusive. Null is treated as empty: no spans. Repeated rows give repeated results,
 very long texts are read whole (both passes take linear time), an empty table gives an empty table, and other columns pass through; columns

@@ -1,14 +1,15 @@
 """Each stage of the pipeline, on all that the stage before kept, against a plain version; and all queries' contracts in shape."""
 
+import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from sealyard.llm import mixing, sharding, toxicity
+from sealyard.llm import toxicity
 from sealyard.llm.queries import ORACLE_SQL, QUERIES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,6 +85,39 @@ def clean(rows, items):
     return kept
 
 
+def unit(text):
+    return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+
+def mixed(rows):
+    """How often each document is taken: targets by filling up, whole copies and a draw of its own for the rest."""
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += len(words(r.text))
+    names = sorted((s for s in sizes if s is not None), key=str.encode) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        target |= {s: 3.0 * sizes[s] for s in over} if over else {s: level * weight[s] for s in open_}
+        left -= sum(3.0 * sizes[s] for s in over)
+        open_ = open_ - over if over else set()
+    rate = {s: min(3.0, target[s] / sizes[s]) if sizes[s] else 0.0 for s in names}
+    taken = {r.doc_id: int(rate[r.source]) + (unit(f"copy:{r.source or ''}:{r.doc_id}") < rate[r.source] % 1) for r in rows}
+    return {d: n for d, n in taken.items() if n}
+
+
+def descended(key):
+    """The shard by three draws: two regions of two racks of four shards."""
+    path, shards = "", {f"/region{g}/rack{r}": [4 * (2 * g + r) + k for k in range(4)] for g in range(2) for r in range(2)}
+    for level in range(3):
+        below = [f"/region{g}" for g in range(2)] if level == 0 else [f"{path}/rack{r}" for r in range(2)] if level == 1 else [f"{path}/{s}" for s in shards[path]]
+        weight = (8, 4, 1)[level]
+        path = min(below, key=lambda p: -math.log(unit(f"{key}:{p}")) / weight)
+    return int(path.rsplit("/", 1)[1])
+
+
 def test_stages(spark, sf_dir):
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -104,11 +138,10 @@ def test_stages(spark, sf_dir):
         elif name == "decontamination":
             assert set(ids) == clean(before, items) and len(ids) < len(before)
         elif name == "mixing":
-            assert ids == Counter({r.doc_id: r.mix_copies for r in mixing.copies(docs).collect() if r.mix_copies}) and max(ids.values()) <= 3
+            assert ids == Counter(mixed(before)) and max(ids.values()) <= 3
         else:
             assert ids == Counter(r.doc_id for r in before) and after.columns == [*columns, "shard", "slot"]
-            tree = sharding.even_tree(P.SHARDS)
-            want = {r.doc_id: r.s for r in docs.select("doc_id", sharding.leaf(F.col("doc_id"), tree).alias("s")).collect()}
+            want = {r.doc_id: descended(r.doc_id) for r in rows}
             slots = {}
             for r in rows:
                 assert r.shard == want[r.doc_id]
