@@ -1,19 +1,19 @@
 """The corpus pipeline: toxic documents go, one of each group of near duplicates stays, contaminated documents go, sources are mixed, shards are dealt.
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and returns the columns of documents; the last adds shard and slot.
-Each stage's rows are written as Parquet, into the cluster's shared folder, and read again.
+Each stage's rows are written as Parquet, into the cluster's shared folder, and read again; a stage's rows go when the next one's are written, so
+of the corpus one copy is left, which the result reads.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealyard.llm import decontam, hyperminhash, mixing, sharding, toxicity
-from sealyard.llm.common import table
+from sealyard.llm.common import discard, shared_folder, table
 
 SHARDS = 16
 
@@ -58,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sealyard-")
+    shared, before = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs
