@@ -1,4 +1,4 @@
-"""python -m sealyard PATH verb ...: put, get, load, list, stats, verify, seal, compact, reset, collections."""
+"""python -m sealyard PATH verb ...: put, get, load, list, stats, verify, seal, compact, reset, collections, users."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .collections import Collections
 from .errors import LedgerError
 from .ledger import Ledger
+from .service import Service
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,9 +42,32 @@ def parser() -> argparse.ArgumentParser:
     coll.add_argument("action", choices=("list", "create", "drop", "verify"))
     coll.add_argument("name", nargs="?")
     coll.add_argument("--description", default="")
+    users = verbs.add_parser("users", help="of the service kept in PATH")
+    users.add_argument("action", choices=("list", "create", "login", "logout", "permissions", "grant", "revoke"))
+    users.add_argument("name", nargs="?", help="user, or session for logout")
+    users.add_argument("--password", default="")
+    users.add_argument("--permissions", default="", help="names, joined by commas")
+    users.add_argument("--token", default="", help="session of who grants or revokes")
     return p
 
 
+def _users(service: Service, a: argparse.Namespace) -> None:
+    names = [x.strip() for x in a.permissions.split(",") if x.strip()]
+    if a.action == "list":
+        print("\n".join(service.users()))
+    elif a.action == "create":
+        service.create_user(a.name, a.password, names)
+    elif a.action == "login":
+        print(service.login(a.name, a.password))
+    elif a.action == "logout":
+        service.logout(a.name)
+    elif a.action == "permissions":
+        print("\n".join(service.permissions(a.name)))
+    else:
+        for permission in names:
+            (service.grant if a.action == "grant" else service.revoke)(a.token, a.name, permission)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("sealyard").getOrCreate()
@@ -74,6 +98,8 @@ def main(argv: list[str] | None = None) -> int:
             led.compact()
         elif a.verb == "reset":
             led.reset()
+        elif a.verb == "users":
+            _users(Service(spark, a.path, a.batch), a)
         else:
             cols = Collections(spark, a.path, a.batch)
             if a.action == "list":

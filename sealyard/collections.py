@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .errors import Invalid, NotFound
 from .ledger import Ledger
-from .operators import indexes, ingest, validation
-from .operators.validation import Field, Index, Schema
+from .operators import indexes, ingest, scans, validation
+from .operators.validation import MAX_BYTES, Field, Index, Schema
 from .sources.store import Store
 
 
@@ -89,10 +89,13 @@ class Collection:
         self.owner.update(self.meta)
 
     def append(self, batch: DataFrame, by: str = "timestamp") -> int:
-        """Valid new documents are added. Any violation of the schema or of a unique index refuses the batch."""
-        schema = self.schema
+        """Valid new documents are added. Any violation of the schema, of the settings' size, or of a unique index refuses the batch."""
+        schema, size = self.schema, self.meta["settings"].get("max_document_size", MAX_BYTES)
+        large = batch.filter(F.octet_length("value") > size) if size is not None else None
+        if large is not None and large.limit(1).count():
+            raise Invalid("document: too large")
         if schema is not None:
-            bad = validation.validated(batch, schema).filter(F.size("violations") > 0).select("violations").first()
+            bad = validation.validated(batch, schema, max_bytes=size).filter(F.size("violations") > 0).select("violations").first()
             if bad is not None:
                 raise Invalid(", ".join(bad.violations))
             for index in schema.indexes:
@@ -105,6 +108,10 @@ class Collection:
                         raise Invalid(f"index {index.name} is unique")
         return self.ledger.append(batch, by)
 
+    def documents(self, now: int) -> DataFrame:
+        """Records that the settings' time to live still shows."""
+        return scans.living(self.ledger.records(), now, self.meta["settings"].get("ttl_seconds"))
+
     def create_index(self, index: Index) -> None:
         self._save((self.schema or Schema()).with_index(index))
 

@@ -57,6 +57,10 @@ def field_list(x: Column | str) -> Column:
     return F.transform(F.split(_col(x), ","), lambda p: F.trim(p))
 
 
+def node_url(host: Column | str, port: Column | str) -> Column:
+    return F.format_string("http://%s:%d", _col(host), _col(port))
+
+
 def successor(prefix: bytes) -> bytes | None:
     """The least key above all keys with the prefix; None if there is no bound."""
     head = prefix.rstrip(b"\xff")

@@ -110,6 +110,11 @@ def active_sessions(sessions: DataFrame, now: int, ended: DataFrame | None = Non
     return live if ended is None else live.join(ended.select("session_id"), "session_id", "left_anti")
 
 
+def session_users(sessions: DataFrame, users: DataFrame, now: int) -> DataFrame:
+    """(session_id, user_id, active) of sessions that haven't expired, with their user; sessions of unknown users are left out."""
+    return active_sessions(sessions, now).join(users.select("user_id", "active"), "user_id").select("session_id", "user_id", "active")
+
+
 def failure_streaks(logins: DataFrame) -> DataFrame:
     """(user_id, streak): failed logins since the last success."""
     good = logins.filter("success").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))

@@ -106,8 +106,12 @@ def _of_field(f: Column, name: str, spec: Field, required: bool) -> Column:
     return F.when(missing, none).otherwise(F.array_compact(F.array(*found)))
 
 
-def validated(docs: DataFrame, schema: Schema, value: str = "value", max_bytes: int = 16 << 20) -> DataFrame:
-    """Adds `violations` to each row; too large a document is one."""
+#: A document's size, unless the collection's settings say otherwise.
+MAX_BYTES = 16 << 20
+
+
+def validated(docs: DataFrame, schema: Schema, value: str = "value", max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """Adds `violations` to each row; too large a document is one, unless max_bytes is None."""
     own = violations(F.col(value).cast("string"), schema)
-    large = F.when(F.octet_length(F.col(value)) > max_bytes, F.array(F.lit("document: too large"))).otherwise(F.array().cast("array<string>"))
+    large = F.when(F.octet_length(F.col(value)) > F.lit(max_bytes).cast("long"), F.array(F.lit("document: too large"))).otherwise(F.array().cast("array<string>"))
     return docs.withColumn("violations", F.concat(large, own))

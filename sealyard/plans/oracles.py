@@ -91,6 +91,7 @@ steps AS ({_STEPS}) SELECT lower(hex(t.hash)) AS hash, t.b AS index, t.place::IN
     "scan_range": f"WITH {PUTS} SELECT decode(key) AS key, decode(value) AS value FROM p WHERE key >= encode('order:2') AND key < encode('order:5')",
     "scan_prefix": f"WITH {DOCS} SELECT decode(key) AS key, ts AS timestamp FROM d WHERE decode(key) LIKE 'en:src1%'",
     "latest_by_prefix": f"WITH {PUTS} SELECT decode(key) AS key, decode(value) AS value FROM p WHERE decode(key) LIKE 'order:9%' ORDER BY p.key DESC LIMIT 1",
+    "scan_in_order": f"WITH {PUTS} SELECT decode(key) AS key, ts AS timestamp FROM p",
     "first_last_key": f"WITH {DOCS} SELECT decode(min(key)) AS first_key, decode(max(key)) AS last_key, count(*) AS n FROM d",
     "list_docs_page": f"WITH {DOCS}, f AS (SELECT * FROM d WHERE decode(key) LIKE 'de:%') SELECT decode(key) AS key, ts AS timestamp, (SELECT count(*) FROM f) AS total_count, 75 < (SELECT count(*) FROM f) AS has_more FROM f ORDER BY f.key LIMIT 25 OFFSET 50",
     "recovered_log": "SELECT user_id || ':' || event_type AS key, 'v' || max(event_id) AS value, max(event_id) AS sequence_number FROM events GROUP BY user_id, event_type",
@@ -148,6 +149,7 @@ reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a
     "raft_unapplied": f"WITH {RAFT} SELECT node_id, index, key FROM log, quorum WHERE index > q // 2 AND index <= q",
     "raft_leader_safety": "SELECT event_id // 100 AS term, count(DISTINCT CASE WHEN event_id % 700 = 0 THEN 'n2' ELSE 'n1' END) AS leaders FROM events GROUP BY 1 HAVING leaders > 1",
     "raft_log_mismatches": f"WITH {RAFT} SELECT index, term, count(DISTINCT key || '/' || value) AS versions FROM log GROUP BY index, term HAVING versions > 1",
+    "node_urls": "SELECT s_suppkey, 'http://node' || s_suppkey || ':' || (s_suppkey + 9000) AS url FROM supplier",
     "node_health": "SELECT user_id % 20 AS node_id, max(event_id) AS last_seen, (SELECT max(event_id) FROM events) - max(event_id) <= 15 AS healthy FROM events GROUP BY 1",
     "permission_effective": f"WITH {PERMS} SELECT user_id, permission FROM pe WHERE ts <= 50000 GROUP BY 1, 2 HAVING arg_max(action, event_id) = 'grant'",
     "permission_check": f"""WITH {PERMS}, g AS (SELECT user_id, permission FROM pe GROUP BY 1, 2 HAVING arg_max(action, event_id) = 'grant'), i(p, w) AS (VALUES {_IMPLIED}),
@@ -163,6 +165,7 @@ SELECT user_id, array_to_string(list_sort(list_distinct(held || ['Delete'])), ',
     "account_status": """WITH c AS (SELECT event_id, user_id::VARCHAR AS user_id, event_id * 10 AS ts, ['Active', 'Suspended', 'Revoked'][event_id % 3 + 1] AS status, CASE WHEN event_id % 2 = 0 THEN event_id * 10 + 3000 END AS until FROM events)
 SELECT user_id, CASE WHEN arg_max(status, event_id) = 'Suspended' AND coalesce(max_by({'u': until}, event_id).u <= 60000, false) THEN 'Active' ELSE arg_max(status, event_id) END AS status FROM c WHERE ts <= 60000 GROUP BY user_id""",
     "sessions_active": "SELECT event_id::VARCHAR AS session_id, user_id, event_id * 10 + 3600 AS expires_at FROM events WHERE event_id * 10 + 3600 > 50000 AND event_id % 6 <> 0",
+    "session_users": "SELECT event_id::VARCHAR AS session_id, user_id::VARCHAR AS user_id, c_custkey % 5 <> 0 AS active FROM events JOIN customer ON user_id = c_custkey WHERE event_id * 10 + 3600 > 50000",
     "lockout_streak": f"WITH {LOGINS} SELECT user_id, streak FROM streaks",
     "locked_accounts": f"WITH {LOGINS} SELECT user_id, streak FROM streaks WHERE streak >= 3 AND 100000 - failed < 60000",
     "nonce_replay": "SELECT user_id, event_id % 50 AS nonce, count(*) AS uses FROM events GROUP BY 1, 2 HAVING uses > 1",

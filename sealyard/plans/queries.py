@@ -155,6 +155,11 @@ def latest_by_prefix(spark, sf_dir):
     return _plain(scans.latest_by_prefix(I.order_puts(spark, sf_dir), b"order:9").select("key", "value"))
 
 
+@query
+def scan_in_order(spark, sf_dir):
+    return _plain(scans.in_order(I.order_puts(spark, sf_dir)).select("key", "timestamp"))
+
+
 @query
 def first_last_key(spark, sf_dir):
     return scans.first_last_key(I.document_records(spark, sf_dir)).select(_s("first_key"), _s("last_key"), "n")
@@ -503,6 +508,11 @@ def raft_log_mismatches(spark, sf_dir):
     return replication.log_mismatches(I.raft_log(spark, sf_dir))
 
 
+@query
+def node_urls(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", codec.node_url(F.concat(F.lit("node"), F.col("s_suppkey").cast("string")), (F.col("s_suppkey") + 9000).cast("int")).alias("url"))
+
+
 @query
 def node_health(spark, sf_dir):
     beats = I.events(spark, sf_dir).select((F.col("user_id") % 20).alias("node_id"), F.col("e").alias("ts"))
@@ -568,6 +578,13 @@ def sessions_active(spark, sf_dir):
     return identity.active_sessions(s, 50_000, ended)
 
 
+@query
+def session_users(spark, sf_dir):
+    s = I.events(spark, sf_dir).select(F.col("e").cast("string").alias("session_id"), F.col("user_id").cast("string").alias("user_id"), (F.col("e") * 10 + 3600).alias("expires_at"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), (F.col("c_custkey") % 5 != 0).alias("active"))
+    return identity.session_users(s, users, 50_000)
+
+
 @query
 def lockout_streak(spark, sf_dir):
     return identity.failure_streaks(I.logins(spark, sf_dir))

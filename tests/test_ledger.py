@@ -179,6 +179,12 @@ def test_collections(spark, tmp_path):
     assert users.ledger.get(b"k") != orders.ledger.get(b"k")
     assert cols.get("users").index("by_email").filter("email = 'bo@x'").first().key == b"k2"
     assert cols.verify() == {"users": True, "orders": True}
+    small = cols.create("small", settings={"max_document_size": 4, "ttl_seconds": 10})
+    with pytest.raises(Invalid):
+        small.append(puts(spark, [(b"k", b"12345", 1)]))
+    assert small.append(puts(spark, [(b"k", b"1234", 1000), (b"l", b"1", 9000)])) == 2
+    assert [r.key for r in cols.get("small").documents(12_000).collect()] == [b"l"]
+    cols.drop("small")
     users.drop_index("by_email")
     with pytest.raises(NotFound):
         cols.get("users").index("by_email")

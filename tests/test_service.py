@@ -221,6 +221,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([path, "get", "b"]) == 1
     assert main([path, "--batch", "1", "seal"]) == 0 and main([path, "--batch", "1", "verify"]) == 0
     assert main([path, "collections", "create", "c", "--description", "d"]) == 0 and main([path, "collections", "create", "c"]) == 1
+    own = str(tmp_path / "users")
+    assert main([own, "users", "create", "root", "--password", "Str0ng!pass", "--permissions", "Admin"]) == 0 and main([own, "users", "create", "root", "--password", "Str0ng!pass"]) == 1
+    assert main([own, "users", "create", "bob", "--password", "Str0ng!pass", "--permissions", "Read"]) == 0
+    capsys.readouterr()
+    assert main([own, "users", "login", "root", "--password", "Str0ng!pass"]) == 0 and main([own, "users", "login", "root", "--password", "wrong"]) == 1
+    token = capsys.readouterr().out.split()[0]
+    assert main([own, "users", "grant", "bob", "--permissions", "Write", "--token", token]) == 0 and main([own, "users", "permissions", "bob"]) == 0
+    assert capsys.readouterr().out.split() == ["Read", "Write"]
+    assert main([own, "users", "logout", token]) == 0 and main([own, "users", "revoke", "bob", "--permissions", "Write", "--token", token]) == 1
     assert main([path, "collections", "verify"]) == 0 and main([path, "reset", "--yes"]) == 0 and main([path, "get", "a"]) == 1
 
 
@@ -236,7 +245,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("orders", "customer", "lineitem", "events", "documents"):
+    for t in ("orders", "customer", "supplier", "lineitem", "events", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     a, b = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLES[name]).df()
     cols = sorted(a.columns)
