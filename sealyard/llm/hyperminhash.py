@@ -6,11 +6,14 @@
 2. The class of smallest id in a band is linked to the others in it, and the components of these links are clusters: two
    sets that share a band are in one cluster. Two sets of similarity 0.85 share none of the 48 bands with a probability of
    1e-10, of similarity 0.8, 5e-7.
-3. Inside a cluster the pairs that share a band are compared, a block of classes by another in a task: first their registers, where an estimate
-   corrected for chance collisions, and more than six deviations below the threshold, ends it; then the full sets. A pair
-   that other links have joined is not compared. Only links that join something leave a task. A block has BLOCK classes, fewer if their
-   sets are large, and its sets are of like size; blocks of sizes too far apart don't meet.
-4. The components of these links are the result.
+3. Each cluster's stars are verified first: a band's class of smallest id against the others in it, some BLOCK of them in a task. Most large
+   clusters are copies of one text and become one group here, by work that is linear in their size.
+4. What a cluster has beyond its largest group is compared with all of the cluster, pair by pair of those that share a band, a block of classes by another in a
+   task; pairs inside the largest group are joined already. A block has BLOCK classes, fewer if their sets are large, and its sets are of like size; blocks
+   of sizes too far apart don't meet. Different texts that only share bands by chance thus cost the square of their number, in blocks.
+   In 3 and 4 a pair's registers are compared first, where an estimate corrected for chance collisions, and more than six deviations below the
+   threshold, ends it; then the full sets. A pair that other links have joined is not compared. Only links that join something leave a task.
+5. The components of all links are the result.
 
 Words are runs without white space, ASCII capitals lowered. A set holds the distinct n-word shingles; of fewer words,
 the whole sequence; without words (null, empty, blank), it is empty and linked with nothing. Shingles are equal if their
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _PRIME, NOT_SPACE, components, cut, join_counted, mix, ranked, sliced, trim, windows_hash, words_of
+from .common import _PRIME, NOT_SPACE, components, cut, discard, join_counted, mix, ranked, sliced, stored, trim, windows_hash, words_of
 
 SHINGLE, SIMILARITY = 5, 80
 BUCKETS, ROWS, MANTISSA = 288, 6, 10
@@ -135,7 +138,7 @@ def _common(sets_a: list, sets_b: list) -> np.ndarray:
 
 
 def _links(rows_a: list, rows_b: list, percent: int):
-    """Links between two blocks of (id, set), or inside one if both are the same; only those that join."""
+    """Links between two blocks of (id, set, group or None), or inside one if both are the same; only those that join groups."""
     inside, t = rows_a is rows_b, percent / 100
     sets_a, sets_b = ([r[1] for r in rows] for rows in (rows_a, rows_b))
     regs_a, regs_b = (np.array([registers(x) for x in sets]) for sets in (sets_a, sets_b))
@@ -149,7 +152,10 @@ def _links(rows_a: list, rows_b: list, percent: int):
     # The likeliest links first: most other pairs are joined by them.
     order = np.argsort(-shared[i, j].astype(np.int16), kind="stable")
     i, j, shift = i[order], j[order], 0 if inside else len(rows_a)
-    joined, both, compared = np.arange(len(rows_a) + (0 if inside else len(rows_b))), None, 0
+    joined, both, compared, first = np.arange(len(rows_a) + (0 if inside else len(rows_b))), None, 0, {}
+    for k, row in enumerate(rows_a if inside else [*rows_a, *rows_b]):
+        if row[2] is not None:
+            joined[k] = first.setdefault(row[2], k)
     for at in range(0, len(i), TOGETHER):
         x, y = i[at : at + TOGETHER], j[at : at + TOGETHER]
         apart = joined[x] != joined[y + shift]
@@ -174,32 +180,56 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     digest = ["n_shingles", "digest_a", "digest_b"]
     some = sk.filter("n_shingles > 0 AND key IS NOT NULL")
     classes = cut(some.groupBy(*digest).agg(F.min("key").alias("rep"), F.count("*").alias("rows")))
-    chosen = cut(some.select(F.col("key").alias("rep"), "bands", *digest).join(classes.select("rep", *digest), ["rep", *digest], "left_semi").select("rep", "bands"))
+    chosen = cut(some.select(F.col("key").alias("rep"), "bands", *digest).join(classes.select("rep", *digest), ["rep", *digest], "left_semi").select("rep", "n_shingles", "bands"))
 
-    banded = chosen.select("rep", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z"))
+    banded = chosen.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.max("rep").alias("z"), F.count("*").alias("n")).filter("c.rep < z")
+    shared = cut(shared.select("band", F.col("c.rep").alias("a"), F.col("c.n_shingles").alias("size"), "n"))
     total = shared.agg(F.sum("n")).first()[0] or 0
-    stars = join_counted(banded, shared, ["band"], "n", total).filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    members = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    stars = cut(join_counted(banded, shared, ["band"], "n", total).filter("a <> rep").select("a", F.col("rep").alias("b"), "size", "n_shingles").distinct())
+    members = components(stars.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    sets, folder = stored(_full_sets(docs, members.select("rep"), key, text, n))
+    kind = docs.schema[key].dataType.simpleString()
 
-    # Blocks hold sets of one size, by powers of two from LARGE up; those of a cluster are numbered through, size after size.
-    members = cut(members.join(classes.select("rep", F.floor(F.log2(F.greatest("n_shingles", F.lit(LARGE)) / LARGE)).cast("int").alias("kind")), "rep"))
+    # Stars: a class and so many others of like size that share a band with it; as many bytes as in a block.
+    stars = stars.filter(100 * F.least("size", "n_shingles") >= percent * F.greatest("size", "n_shingles")).drop("n_shingles")
+    arms = cut(stars.groupBy("a").agg(F.count("*").alias("n"), F.max("size").alias("size")).withColumn("parts", F.ceil(F.col("n") * F.greatest(F.lit(1.0), F.col("size") / LARGE) / BLOCK)))
+    total = arms.agg(F.sum("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("b"), "parts")
+    ends = join_counted(stars.drop("size"), arms.drop("size"), ["a"], "n", total).select("a", (2 * part).alias("low"), (2 * part + 1).alias("block"), F.col("b").alias("rep"))
+    ends = ends.unionByName(arms.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")).select("a", (2 * F.col("p")).alias("low"), (2 * F.col("p")).alias("block"), F.col("a").alias("rep")))
+    rows = ends.select("rep", F.lit(None).cast(kind).alias("label"), F.col("a").alias("cluster"), "low", (F.col("low") + 1).alias("high"), "block")
+    links = cut(_compare(rows.join(sets, "rep"), kind, percent))
+
+    # What is beside a cluster's largest group comes first, so that its blocks are numbered through; then that group's.
+    labels = components(links, reduce_=False).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    members = cut(members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    largest = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+    largest = cut(largest.filter("groups > 1").drop("groups"))
+    total = largest.agg(F.sum("n")).first()[0] or 0
+    open_ = join_counted(members, largest, ["cluster"], "n", total).select("rep", "cluster", "label", (F.col("label") == F.col("most")).cast("int").alias("main"))
+    # Blocks hold sets of one size, by powers of two from LARGE up.
+    open_ = cut(open_.join(classes.select("rep", F.floor(F.log2(F.greatest("n_shingles", F.lit(LARGE)) / LARGE)).cast("int").alias("kind")), "rep"))
     fits = F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.pow(F.lit(2), F.col("kind"))).cast("long"))
-    placed = ranked(members, ["cluster", "kind"], F.pmod(F.xxhash64("rep"), F.lit(64)), [F.col("rep")], "place").withColumn("block", F.floor(F.col("place") / fits))
-    sizes = Window.partitionBy("cluster").orderBy("kind")
-    near = sizes.rangeBetween(-1, 1) if percent > 50 else sizes.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = members.groupBy("cluster", "kind").agg(F.count("*").alias("n")).withColumn("own", F.ceil(F.col("n") / fits))
-    blocks = blocks.withColumn("first", F.sum("own").over(sizes) - F.col("own"))
-    blocks = cut(blocks.select("cluster", "kind", "n", "first", F.min("first").over(near).alias("from"), F.max(F.col("first") + F.col("own")).over(near).alias("to")))
+    group = ["cluster", "main", "kind"]
+    placed = ranked(open_, group, F.pmod(F.xxhash64("rep"), F.lit(64)), [F.col("rep")], "place").withColumn("block", F.floor(F.col("place") / fits))
+    blocks = open_.groupBy(*group).agg(F.count("*").alias("n")).withColumn("own", F.ceil(F.col("n") / fits))
+    blocks = blocks.withColumn("first", F.sum("own").over(Window.partitionBy("cluster").orderBy("main", "kind")) - F.col("own"))
+    near = Window.partitionBy("cluster").orderBy("kind")
+    near = near.rangeBetween(-1, 1) if percent > 50 else near.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for main in (0, 1):
+        own = lambda c, main=main: F.when(F.col("main") == main, c)
+        low, high = F.min(own(F.col("first"))).over(near), F.max(own(F.col("first") + F.col("own"))).over(near)
+        blocks = blocks.withColumn(f"meets_{main}", F.when(low.isNotNull(), F.sequence(low, high - 1)).otherwise(F.array().cast("array<long>")))
+    meets = F.when(F.col("main") == 1, F.col("meets_0")).otherwise(F.concat("meets_0", "meets_1"))
+    blocks = cut(blocks.select(*group, "n", "first", meets.alias("meets")))
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    dealt = join_counted(placed.select("rep", "cluster", "kind", "block"), blocks, ["cluster", "kind"], "n", total)
-    dealt = dealt.select("rep", "cluster", (F.col("first") + F.col("block")).alias("block"), F.explode(F.sequence("from", F.col("to") - 1)).alias("other"))
-    dealt = dealt.select("rep", "block", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    sets = _full_sets(docs, members.select("rep"), key, text, n)
-    full = dealt.join(sets, "rep")
-    edges = _compare(full, docs.schema[key].dataType.simpleString(), percent)
+    dealt = join_counted(placed.select("rep", "label", *group, "block"), blocks, group, "n", total)
+    dealt = dealt.select("rep", "label", "cluster", (F.col("first") + F.col("block")).alias("block"), F.explode("meets").alias("other"))
+    dealt = dealt.select("rep", "label", "block", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    edges = links.unionByName(_compare(dealt.join(sets, "rep"), kind, percent))
     final = components(edges, reduce_=False).select(F.col("node").alias("rep"), "component")
+    discard(docs.sparkSession, folder)
 
     named = classes.join(final, "rep", "left").select(*digest, "rows", F.coalesce("component", "rep").alias("component"))
     total = named.agg(F.sum("rows")).first()[0] or 0
@@ -240,12 +270,12 @@ def _compare(full: DataFrame, kind: str, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
 
         for batch in sliced(batches, 256):
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "low", "high", "block", "rep", "full")]
-            for cluster, low, high, block, *row in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("cluster", "low", "high", "block", "rep", "full", "label")]
+            for cluster, low, high, block, rep, full, label in zip(*cols, strict=True):
                 if (cluster, low, high) != now:
                     yield from done()
                     now, blocks = (cluster, low, high), {}
-                blocks.setdefault(block, []).append((row[0], np.frombuffer(row[1], dtype=np.uint64)))
+                blocks.setdefault(block, []).append((rep, np.frombuffer(full, dtype=np.uint64), label))
         yield from done()
         blocks = {}
         trim()

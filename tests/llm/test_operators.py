@@ -376,6 +376,42 @@ def test_near_duplicates(spark, docs, rows, monkeypatch, n, percent, block, larg
     assert {r.doc_id for r in kept.collect()} == {root(d) for d in sets} and kept.columns == docs.columns
 
 
+def test_near_duplicates_of_templates_and_of_one_text(spark):
+    """Many texts that are half a template share bands but aren't linked; a group of edited copies is linked by its star, a chain of edits by pairs."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(70)]
+    texts = [template[:35] + [word() for _ in range(35)] for _ in range(250)]  # similarity 0.3 and less of 0.5
+    base = [word() for _ in range(120)]
+    for _ in range(120):
+        t = list(base)
+        t[rnd.randrange(len(t))] = word()
+        texts.append(t)
+    chain = [word() for _ in range(150)]
+    for _ in range(25):
+        chain = list(chain)
+        chain[rnd.randrange(len(chain))] = word()
+        texts.append(chain)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rnd.shuffle(rows)
+    sets = {d: shingles(t, 3) for d, t in rows}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component for r in hyperminhash.near_duplicates(df, n=3, percent=85).collect()}
+    assert got == {d: root(d) for d in sets} and len(set(got.values())) >= 252
+
+
 def test_estimate_is_near_the_similarity():
     import numpy as np
 
