@@ -4,30 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import record_hash
+from .checkpoints import cut
 from .ordering import numbered
 
 
 def with_status(batch: DataFrame, ledger: DataFrame | None, arrival: Sequence[Column]) -> DataFrame:
     """Adds status to each row of a batch: accepted, duplicate_in_batch, or duplicate_key if the ledger has it.
 
-    arrival must order all rows of a key; of rows that tie on it any one is the first. Keys and arrival are not null.
+    arrival must order all rows of a key; of rows that tie on it any one is the first. Keys are not null.
     """
-    # The winner of each key is found by partial aggregation, so a hot key's rows are sorted nowhere.
-    won = batch.groupBy("key").agg(F.min(F.struct(*arrival)).alias("__won"))
+    # The rows are written once, numbered. The winner of each key is found by partial aggregation, so a hot key's rows are sorted nowhere.
+    rows = cut(batch.withColumn("__row", F.monotonically_increasing_id()))
+    won = rows.groupBy("key").agg(F.min_by("__row", F.struct(*arrival, "__row")).alias("__won"))
+    known = F.lit(False)
     if ledger is not None:
         won = won.join(ledger.select("key", F.lit(True).alias("__known")), "key", "left")
-    else:
-        won = won.withColumn("__known", F.lit(False))
-    rows = batch.join(won, "key").withColumn("__first", F.struct(*arrival) == F.col("__won"))
-    # Rows that tie for the first place are numbered; the others aren't sorted.
-    place = F.row_number().over(Window.partitionBy("key").orderBy(*arrival))
-    rows = rows.filter("__first").withColumn("__first", place == 1).unionByName(rows.filter("NOT __first"))
-    status = F.when(F.coalesce("__known", F.lit(False)), "duplicate_key").when(F.col("__first"), "accepted").otherwise("duplicate_in_batch")
-    return rows.withColumn("status", status).drop("__won", "__known", "__first")
+        known = F.coalesce("__known", F.lit(False))
+    status = F.when(known, "duplicate_key").when(F.col("__row") == F.col("__won"), "accepted").otherwise("duplicate_in_batch")
+    return rows.join(won, "key").withColumn("status", status).drop("__row", "__won", "__known")
 
 
 def accepted(batch: DataFrame, ledger: DataFrame | None, arrival: Sequence[Column]) -> DataFrame:
