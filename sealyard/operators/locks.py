@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,11 @@ def grantable(requests: DataFrame, held: DataFrame) -> DataFrame:
 
 def granted_prefix(waits: DataFrame) -> DataFrame:
     """Of each key's queue, once the key is free, the head that can be granted together: one exclusive, or all shared ones before the first exclusive."""
-    own = Window.partitionBy("key").orderBy("requested_at", "tx_id")
-    rows = waits.withColumn("place", F.row_number().over(own)).withColumn("blocked", F.sum(F.when(F.col("mode") == "exclusive", 1).otherwise(0)).over(own))
-    alone = (F.col("mode") == "exclusive") & (F.col("place") == 1)
-    return rows.withColumn("granted", alone | (F.col("blocked") == 0)).drop("blocked")
+    # The head and the first exclusive request of each queue, by partial aggregation: no task sorts a hot key's queue.
+    at, exclusive = F.struct("requested_at", "tx_id"), F.col("mode") == "exclusive"
+    ends = waits.groupBy("key").agg(F.min(at).alias("head"), F.min(F.when(exclusive, at)).alias("bar"))
+    granted = F.when(exclusive, at == F.col("head")).otherwise(F.col("bar").isNull() | (at < F.col("bar")))
+    return waits.join(ends, "key").withColumn("granted", granted).drop("head", "bar")
 
 
 def waits_for(waiting: DataFrame, held: DataFrame) -> DataFrame:
